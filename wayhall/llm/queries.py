@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayhall.llm import exact_dedup, mixing
+import public_tokenizers
+
+from wayhall.llm import exact_dedup, fingerprint, license_scan, mixing, packing, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,8 +27,38 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copy", F.round("rate", 6).alias("rate"), "shuffle_key", F.char_length("text").cast("long").alias("n_code_points"))
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+#: Grades of the ratings: 0 for poor text, 1 for good text that is toxic, 2 for good text.
+GRADE = F.col("quality") * (2 - F.coalesce("toxic", F.lit(0)))
+KEEP_FROM, KEEP_AT = 1.0, 0.5
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = quality.fit_quality(documents(spark, sf_dir), labels(spark, sf_dir), GRADE)
+    return quality.score_quality(documents(spark, sf_dir), model, ["doc_id"], KEEP_FROM, KEEP_AT)
+
+
+def op8_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(documents(spark, sf_dir)).drop("spans")
+
+
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op7_mix_sources)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op4_quality, op7_mix_sources, op8_pack_documents, op9_license_scan, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
