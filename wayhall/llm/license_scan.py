@@ -83,7 +83,7 @@ def rolling_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"row_id long, doc_id {kind}, pos int, h long")
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, coverage: float = 0.7, gap: int = 3) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, coverage: float = 0.8, gap: int = 3) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans: one row for each row of docs.
 
     n_base counts all places of phrases; first_word and last_word are their smallest and largest start, null without any.

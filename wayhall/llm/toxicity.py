@@ -6,7 +6,7 @@ toxic against another document. An entry counts where it starts a word; of entri
 counts; a hit inside an exception phrase doesn't. Weights are summed and normalised by the text's length, and a logistic
 fitted on the same training rows turns that into a score between 0 and 1.
 
-Training uses at most ``max_rows`` labelled rows. The lexicon is bounded by ``max_entries``. Scoring is one pass over
+Training uses at most ``max_rows`` labelled rows, equal texts once. The lexicon is bounded by ``max_entries``. Scoring is one pass over
 each text and moves nothing.
 """
 
@@ -34,6 +34,8 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@":
 MAX_ROWS = 20_000
 MAX_ENTRIES = 4_000
 PREFIXES = range(4, 9)
+#: An entry's log likelihood ratio must exceed this: about what the best of a million chance words reaches.
+SURPRISE = 15.0
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -132,7 +134,7 @@ def _map(df: DataFrame, row, schema: str, lexicon=None) -> DataFrame:  # noqa: A
 
 def fit_lexicon(docs: DataFrame, labels: DataFrame, label: Column, where: Column | None = None, max_rows: int = MAX_ROWS, max_entries: int = MAX_ENTRIES, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Fit on at most max_rows labelled rows. With no toxic or no other rows the lexicon is empty and every score is the base rate."""
-    sample = materialise(labelled_sample(docs, labels, label, max_rows, where), "labelled")
+    sample = materialise(labelled_sample(docs, labels, label, max_rows, where).dropDuplicates(["text", "label"]), "labelled")
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     bad, good = sizes.get(1.0, 0), sizes.get(0.0, 0)
     if not bad or not good:
@@ -147,7 +149,10 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, label: Column, where: Column
 
     counted = _map(sample, count, "entry string, bad long, good long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
-    rows = counted.where("bad >= 3").withColumn("w", odds).where("w >= 2").orderBy(F.desc(F.col("w") * F.col("bad")), "entry").limit(max_entries).collect()
+    rate, n = bad / (bad + good), F.col("bad") + F.col("good")
+    other = F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / n / (1 - rate))).otherwise(0.0)
+    surprise = F.col("bad") * F.log(F.col("bad") / n / rate) + other
+    rows = counted.where("bad >= 3").withColumn("w", odds).where((F.col("w") >= 2) & (surprise >= SURPRISE)).orderBy(F.desc(F.col("w") * F.col("bad")), "entry").limit(max_entries).collect()
     sc = docs.sparkSession.sparkContext
     lexicon = Lexicon({r["entry"]: float(r["w"]) for r in rows}, set(exceptions))
     sent = sc.broadcast(lexicon)
