@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -17,17 +18,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def _path(spark: SparkSession, path: str):  # noqa: ANN202
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def materialise(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back.
 
     Executors that are lost later cost nothing, as the files don't live with them. The folder is deleted when the
-    driver's JVM ends.
+    driver's JVM ends, or by discard(). release asks Spark to delete the shuffle files of what has been written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(schema).parquet(path)
+    target, fs = _path(spark, path)
+    fs.deleteOnExit(target)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of materialise() that nothing will read again."""
+    target, fs = _path(df.sparkSession, df.scratch_path)
+    fs.delete(target, True)
