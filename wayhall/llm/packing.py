@@ -17,6 +17,7 @@ import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,62 +38,82 @@ CONTEXTUAL = "Σ"
 class CachedTokenizer:
     """The ids of a lower-casing, white-space-dropping word BPE, with words looked up before they are encoded.
 
-    Such a tokenizer treats each run of non-space characters alone, so ids of runs seen before can be reused. Texts for
-    which that isn't certain are encoded whole. Caches are emptied at ``limit`` entries, which bounds memory.
+    Such a tokenizer treats each run of non-space characters alone, and each match of WORDS in it alone, so ids of runs
+    seen before can be reused. Texts for which that isn't certain are encoded whole. The cache is emptied when it has
+    ``limit`` entries, which bounds memory.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 800_000):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.limit = Tokenizer.from_file(path), regex.compile(WORDS), limit
-        self.runs: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, runs: list[str]) -> None:
-        """Encode the runs of one text that aren't in the cache."""
-        runs = list({r for r in runs if r not in self.runs})
-        split = [self.words.findall(r) for r in runs]
-        new = list({p for ps in split for p in ps if p not in self.parts})
-        if len(self.parts) + len(new) > self.limit:
-            self.parts.clear()
-            new = list({p for ps in split for p in ps})
+    def _learn(self, runs: set[str]) -> None:
+        """Put runs into the cache."""
+        known = self.known
+        split = {r: self.words.findall(r) for r in runs if not r.isalpha()}
+        new = [r for r in runs if r.isalpha()]
+        new += {p for ps in split.values() for p in ps if p not in known and p not in runs or len(ps) == 1}
         for at in range(0, len(new), 5000):
             some = new[at : at + 5000]
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, own = np.array(got.ids, "<u4"), np.array(got.word_ids)
-            for p, x in zip(some, np.split(ids, np.flatnonzero(np.diff(own)) + 1), strict=True):
-                self.parts[p] = x.tobytes()
-        parts = self.parts
-        for r, ps in zip(runs, split, strict=True):
-            self.runs[r] = b"".join([parts[p] for p in ps])
-
-    def encode(self, text: str) -> bytes:
-        """Ids as unsigned little-endian 32-bit integers."""
-        if SPECIAL in text or any(c in text for c in SEPARATORS) or CONTEXTUAL in text or not unicodedata.is_normalized("NFC", text):
-            return self._whole(text)
-        runs = text.lower().split()
-        try:
-            return b"".join(map(self.runs.__getitem__, runs))
-        except KeyError:
-            if len(self.runs) > self.limit:
-                self.runs.clear()
-            self._learn(runs)
-            return b"".join(map(self.runs.__getitem__, runs))
+            ids = np.array(got.ids, "<u4").tobytes()
+            ends = (4 * np.append(np.flatnonzero(np.diff(np.array(got.word_ids))) + 1, len(got))).tolist()
+            start = 0
+            for p, end in zip(some, ends, strict=True):
+                known[p] = ids[start:end]
+                start = end
+        for r, ps in split.items():
+            known[r] = b"".join([known[p] for p in ps])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as unsigned little-endian 32-bit integers."""
+        plain = [not (SPECIAL in t or any(c in t for c in SEPARATORS) or CONTEXTUAL in t) and unicodedata.is_normalized("NFC", t) for t in texts]
+        runs = [t.lower().split() if ok else None for t, ok in zip(texts, plain, strict=True)]
+        if len(self.known) > self.limit:
+            self.known.clear()
+        missing: set[str] = set()
+        for rs in runs:
+            missing.update(r for r in set(rs or ()) if r not in self.known)
+        if missing:
+            self._learn(missing)
+        find = self.known.__getitem__
+        return [self._whole(t) if rs is None else b"".join(map(find, rs)) for t, rs in zip(texts, runs, strict=True)]
+
+
+@lru_cache(maxsize=1)
+def tokenizer_of_worker(path: str) -> CachedTokenizer:
+    """One for each Python worker, so that the tasks it runs share the cache."""
+    return CachedTokenizer(path)
+
+
+def tokens(tok: CachedTokenizer, column: pa.Array, chars: int = 1 << 21) -> Iterator[bytes]:
+    """Ids of each text of a column, some texts at a time; null counts as empty."""
+    held: list[str] = []
+    size = 0
+    for value in column:
+        held.append(value.as_py() or "")
+        size += len(held[-1])
+        if size > chars:
+            yield from tok.encode(held)
+            held, size = [], 0
+    yield from tok.encode(held)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, max_len: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens for each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = CachedTokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        tok, end = tokenizer_of_worker(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             at, rows = [], []
-            for i, text in enumerate(batch.column(1)):
-                ids = tok.encode(text.as_py() or "") + end
+            for i, own in enumerate(tokens(tok, batch.column(1))):
+                ids = own + end
                 n = len(ids) // 4
                 for start in range(0, n, max_len):
                     own = ids[4 * start : 4 * (start + max_len)]
