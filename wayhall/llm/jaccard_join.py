@@ -232,9 +232,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Of rows with the smallest id itself all stay; rows without shingles stay.
     """
     found = materialise(jaccard_components(docs, id_col, text_col, words, percent), "found")
-    drop = found.where("component_id < doc_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select("doc_id").distinct()
+    drop = found.where("component_id < doc_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("__drop")).distinct()
     drop = materialise(drop, "drop", release=True)
-    return docs.join(drop, F.col(f"`{id_col}`").eqNullSafe(drop["doc_id"]), "left_anti")
+    return docs.join(drop, F.col(f"`{id_col}`").eqNullSafe(F.col("__drop")), "left_anti")
 
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, few: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -261,8 +261,8 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     open_ = _rooted(many, none)
     pairs = materialise(_pairs(small).unionByName(_starred(open_, 0, percent)).distinct(), "pairs", release=True)
     used = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).unionByName(open_.select("node")).distinct()
-    wanted = materialise(nodes.join(used, "node", "left_semi").select(F.col("rep_doc").alias("doc_id")).distinct(), "wanted")
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
+    wanted = materialise(nodes.join(used, "node", "left_semi").select("rep_doc").distinct(), "wanted")
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_doc")), "left_semi")
     sets = _sets(texts, heavy, words).join(nodes.select("digest", "node"), "digest").select("node", "fragment", "part").dropDuplicates(["node", "fragment"])
     sets = materialise(sets, "fragments", release=True)
     links = _verified(pairs, nodes, sets, percent)

@@ -52,6 +52,21 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total
     return weighed.select("src", "n", (F.col("w") / F.lit(all_w) * F.lit(size) / F.col("n")).alias("rate"))
 
 
+def _mixed(docs: DataFrame, weights: dict[str, float] | None, total: int | None, seed: int, id_col: str, source_col: str, default_weight: float) -> DataFrame:
+    """row (all columns of docs), copy, rate, shuffle_key, in the order of shuffle_key."""
+    rates = materialise(source_rates(docs, weights, total, source_col, default_weight), "rates")
+    top = rates.agg(F.max("rate")).first()[0] or 0.0
+    if top > 700:
+        raise ValueError(f"a repetition rate of {top:.0f} is past what exp() holds; split the source")
+    most = int(top + 12 * math.sqrt(top) + 40)
+    source = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("~"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), source.alias("src"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("~")).alias("id"))
+    counted = rows.join(rates.select("src", "rate"), "src").withColumn("k", poisson_inverse(F.col("rate"), uniform(seed, F.col("id")), most)).where("k > 0")
+    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    key = F.md5(F.concat_ws(":", F.lit(f"{seed}k"), "id", F.col("copy").cast("string")))
+    return copies.select("row", "copy", "rate", key.alias("shuffle_key")).orderBy("shuffle_key")
+
+
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", default_weight: float = 0.0) -> DataFrame:
     """docs with each row repeated by its count, plus copy (0, 1, ...), rate and shuffle_key; ordered by shuffle_key.
 
@@ -59,20 +74,14 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
     read. Rates of 0 drop the source; an empty table gives an empty result. Columns named like the added ones are
     replaced.
     """
-    rates = materialise(source_rates(docs, weights, total, source_col, default_weight), "rates")
-    top = rates.agg(F.max("rate")).first()[0] or 0.0
-    if top > 700:
-        raise ValueError(f"a repetition rate of {top:.0f} is past what exp() holds; split the source")
-    most = int(top + 12 * math.sqrt(top) + 40)
-    own = [c for c in docs.columns if c not in ("copy", "rate", "shuffle_key")]
-    ident = F.col(f"`{id_col}`")
-    joined = docs.select(*(f"`{c}`" for c in own), F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("~")).alias("__src")).join(
-        rates.select(F.col("src").alias("__src"), "rate"), "__src"
-    )
-    counted = joined.withColumn("__k", poisson_inverse(F.col("rate"), uniform(seed, ident), most)).where("__k > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}k"), F.coalesce(ident.cast("string"), F.lit("~")), F.col("copy").cast("string"))))
-    return keyed.select(*(f"`{c}`" for c in own), "copy", "rate", "shuffle_key").orderBy("shuffle_key")
+    mixed = _mixed(docs, weights, total, seed, id_col, source_col, default_weight)
+    added = ("copy", "rate", "shuffle_key")
+    return mixed.select(*(F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in added), *added)
+
+
+def mixed_rows(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", default_weight: float = 0.0) -> DataFrame:
+    """As mix_sources(), with the columns of docs alone."""
+    return _mixed(docs, weights, total, seed, id_col, source_col, default_weight).select("row.*")
 
 
 def oracle(seed: int = 7, most: int = 100) -> str:

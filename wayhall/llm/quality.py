@@ -140,5 +140,8 @@ def score_quality(docs: DataFrame, model: OrdinalModel, keep: list[str], at_leas
 
 def select_quality(docs: DataFrame, labels: DataFrame, grade: Column, at_least: float, threshold: float, max_rows: int = MAX_ROWS) -> DataFrame:
     """The rows of docs, with all their columns, whose probability of grade at_least or more reaches threshold."""
-    scored = score_quality(docs, fit_quality(docs, labels, grade, max_rows), docs.columns, at_least, threshold)
-    return scored.where("selected").drop("expected_grade", "tail_probability", "selected")
+    names = docs.columns
+    model = fit_quality(docs, labels, grade, max_rows)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    scored = score_quality(plain, model, plain.columns, at_least, threshold, f"c{names.index('text')}")
+    return scored.where("selected").select(*plain.columns).toDF(*names)
