@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from wayhall.llm.blocks import block_of, id_cuts
 from wayhall.llm.textkit import U, Hasher, chunks, grams, mix, not_white
 
 STRONG, SOFT = 16, 128
@@ -89,22 +90,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(apart == 0, 1.0, np.clip(1 - apart / np.maximum(both, 1), 0, 1))
 
 
-def _block_of(ident: Column, cuts: list) -> Column:
-    """How many of the sorted cuts are at most ident, by binary search in a literal; null ids belong to the last block."""
-    table, n = F.array(*(F.lit(c) for c in cuts)), len(cuts)
-    powers = F.array(*(F.lit(1 << k) for k in range(max(1, n).bit_length() - 1, -1, -1)))
-    step = lambda at, p: F.when((at + p <= n) & (F.get(table, at + p - 1) <= ident), at + p).otherwise(at)
-    return F.when(ident.isNull(), F.lit(n)).otherwise(F.aggregate(powers, F.lit(0), step)) if n else F.lit(0)
-
-
 def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """block, extra, doc_id, text: partitions hold whole blocks of neighbouring ids in order, each followed by the next block's first rows (extra)."""
     spark = docs.sparkSession
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = [i / (4 * parts) for i in range(1, 4 * parts)]
-    cuts = sorted(set(own.agg(F.percentile_approx("doc_id", share, 40 * parts)).first()[0] or []))
-    placed = own.withColumn("block", _block_of(F.col("doc_id"), cuts))
+    cuts = id_cuts(own, "doc_id", 4 * parts)
+    placed = own.withColumn("block", block_of(F.col("doc_id"), cuts))
     heads = dict(placed.groupBy("block").agg(F.min("doc_id")).collect())  # one row for each block
     first = min((h for h in heads.values() if h is not None), default=None)
     used = sorted(heads)

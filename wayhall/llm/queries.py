@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from wayhall.llm import exact_dedup, fingerprint, jaccard_join, license_scan, mixing, packing, quality, toxicity
+from wayhall.llm import exact_dedup, fingerprint, jaccard_join, license_scan, mixing, packing, quality, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +49,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(documents(spark, sf_dir))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(documents(spark, sf_dir))
+
+
 def op8_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -62,8 +66,8 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op4_quality, op5_jaccard_join, op7_mix_sources, op8_pack_documents, op9_license_scan, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op4_quality, op5_jaccard_join, op6_substring_dedup, op7_mix_sources, op8_pack_documents, op9_license_scan, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op7_mix_sources": mixing.oracle()}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op7_mix_sources": mixing.oracle()}
