@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from wayhall.llm import exact_dedup, fingerprint, jaccard_join, license_scan, mixing, packing, quality, substring_dedup, toxicity
+from wayhall.llm import exact_dedup, fingerprint, jaccard_join, license_scan, lm_scoring, mixing, packing, quality, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copy", F.round("rate", 6).alias("rate"), "shuffle_key", F.char_length("text").cast("long").alias("n_code_points"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(documents(spark, sf_dir))
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -66,7 +70,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op4_quality, op5_jaccard_join, op6_substring_dedup, op7_mix_sources, op8_pack_documents, op9_license_scan, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_lm_scoring, op3_toxicity, op4_quality, op5_jaccard_join, op6_substring_dedup, op7_mix_sources, op8_pack_documents, op9_license_scan, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
