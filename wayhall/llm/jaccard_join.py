@@ -169,19 +169,34 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).where("u <> v").distinct()
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets link: partial overlaps by fragment, summed."""
-    size = nodes.select("node", "n", "bitmap")
-    x, y = (size.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bitmap").alias(f"m{c}")) for c in "uv")
+def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that their parity bitmaps don't rule out, with sizes and digests.
+
+    Bitmaps of two sets differ in at most as many bits as the sets differ in shingles.
+    """
+    x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bitmap").alias(f"m{c}"), F.col("digest").alias(f"d{c}"), F.col("rep_doc").alias(f"doc_{c}")) for c in "uv")
     apart = sum((F.bit_count(F.get("mu", F.lit(i)).bitwiseXOR(F.get("mv", F.lit(i)))) for i in range(MAP_LONGS)), F.lit(0))
-    near = pairs.join(x, "u").join(y, "v").where((100 + percent) * (F.col("nu") + F.col("nv") - apart) >= 2 * percent * (F.col("nu") + F.col("nv")))
-    near = materialise(near.select("u", "v", "nu", "nv"), "near", release=True)
-    left = near.join(sets.select(F.col("node").alias("u"), "fragment", F.col("part").alias("pu")), "u")
-    both = left.join(sets.select(F.col("node").alias("v"), "fragment", F.col("part").alias("pv")), ["v", "fragment"])
+    both = F.col("nu") + F.col("nv")
+    found = pairs.join(x, "u").join(y, "v").where((100 + percent) * (both - apart) >= 2 * percent * both)
+    return materialise(found.drop("mu", "mv"), "near", release=True)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, heavy: Broadcast, k: int, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sets link: partial overlaps by fragment, summed."""
+    near = _near(pairs, nodes, percent)
+    wanted = materialise(near.select(F.explode(F.array("doc_u", "doc_v")).alias("wanted")).distinct(), "wanted", release=True)
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    # Rows repeated with one id give one set more than once.
+    sets = materialise(_sets(texts, heavy, k).repartition("digest").dropDuplicates(["digest", "fragment"]), "fragments", release=True)
+    left = near.select("u", "v", "nu", "nv", "du", "dv").join(sets.select(F.col("digest").alias("du"), "fragment", F.col("part").alias("pu")), "du").drop("du")
+    both = left.join(sets.select(F.col("digest").alias("dv"), "fragment", F.col("part").alias("pv")), ["dv", "fragment"])
     partial = both.select("u", "v", "nu", "nv", F.array_size(F.array_intersect("pu", "pv")).alias("overlap"))
     total = partial.groupBy("u", "v", "nu", "nv").agg(F.sum("overlap").alias("overlap"))
     links = total.where(100 * F.col("overlap") >= percent * (F.col("nu") + F.col("nv") - F.col("overlap")))
-    return materialise(links.select("u", "v", "overlap"), "links", release=True)
+    links = materialise(links.select("u", "v", "overlap"), "links", release=True)
+    for done in (near, wanted, sets):
+        discard(done)
+    return links
 
 
 def _rooted(shared: DataFrame, roots: DataFrame) -> DataFrame:
@@ -241,38 +256,36 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     heavy = spark.sparkContext.broadcast(heavy_shingles(docs, words))
-    rows = materialise(_rows(docs, heavy, words, percent), "sets", release=True)
+    whole = materialise(_rows(docs, heavy, words, percent), "sets", release=True)
+    rows = materialise(whole.select("row_id", "doc_id", "n", "digest", "lead"), "rows")
     by_set = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.when(F.col("lead"), F.struct("row_id", "doc_id"))).alias("rep"))
     by_set = materialise(by_set.select("digest", F.col("rep.row_id").alias("node"), F.col("rep.doc_id").alias("rep_doc")), "by_set")
-    leads = rows.where("lead")
-    nodes = materialise(leads.drop("prefix", "doc_id").join(by_set, "digest").where("row_id = node").select("node", "n", "bitmap", "digest", "rep_doc"), "nodes")
+    leads = whole.where("lead")
+    nodes = leads.drop("prefix", "doc_id").join(by_set, "digest").where("row_id = node").select("node", "n", "bitmap", "digest", "rep_doc")
+    nodes = materialise(nodes, "nodes", release=True)
     postings = leads.select("row_id", "n", F.posexplode("prefix").alias("pos", "h"))
     counted = postings.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("c > 1")
     counted = materialise(counted, "shared", release=True)
+    discard(whole)
     # A set that several tasks met has a lead in each: they are one node.
-    lead_node = leads.select("row_id", "digest").join(by_set, "digest").select("row_id", "node")
+    lead_node = rows.where("lead").select("row_id", "digest").join(by_set, "digest").select("row_id", "node")
     shared = counted.join(lead_node, "row_id").groupBy("h", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.max("c").alias("c"))
     shared = materialise(shared, "postings", release=True)
     discard(counted)
     few_ones = shared.where(F.col("c") <= few)
     small = few_ones.alias("a").join(few_ones.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.node") < F.col("b.node")) & _may_link(percent))
     many = materialise(shared.where(F.col("c") > few), "many")
-    none = spark.createDataFrame([], "node long, root long")
-    open_ = _rooted(many, none)
+    open_ = _rooted(many, spark.createDataFrame([], "node long, root long"))
     pairs = materialise(_pairs(small).unionByName(_starred(open_, 0, percent)).distinct(), "pairs", release=True)
-    used = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).unionByName(open_.select("node")).distinct()
-    wanted = materialise(nodes.join(used, "node", "left_semi").select("rep_doc").distinct(), "wanted")
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_doc")), "left_semi")
-    sets = _sets(texts, heavy, words).join(nodes.select("digest", "node"), "digest").select("node", "fragment", "part").dropDuplicates(["node", "fragment"])
-    sets = materialise(sets, "fragments", release=True)
-    links = _verified(pairs, nodes, sets, percent)
+    discard(shared)
+    links = _verified(pairs, nodes, docs, heavy, words, percent)
     roots = materialise(components(links), "roots")
     for turn in range(1, LEADERS + 1):
         open_ = _rooted(many, roots)
         if open_.isEmpty():
             break
-        more = _starred(open_, turn, percent) if turn < LEADERS else _across(open_, percent)
-        found = _verified(materialise(more, "pairs"), nodes, sets, percent)
-        links = links.unionByName(found)
-        roots = materialise(components(links), "roots")
+        more = materialise(_starred(open_, turn, percent) if turn < LEADERS else _across(open_, percent), "pairs", release=True)
+        if not more.isEmpty():
+            links = links.unionByName(_verified(more, nodes, docs, heavy, words, percent))
+            roots = materialise(components(links), "roots")
     return rows.select("doc_id", "n", "digest"), roots, nodes
