@@ -1,0 +1 @@
+"""Building accessibility analytics on Spark: extraction, spatial matching, graph assembly, routing and export."""
