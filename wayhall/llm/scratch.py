@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,13 +33,16 @@ def materialise(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
+    schema = StructType.fromJson(df.schema.jsonValue())
     df.write.parquet(path)
     target, fs = _path(spark, path)
     fs.deleteOnExit(target)
     if release:
+        del df  # Spark keeps shuffle files while anything refers to the plan
         gc.collect()
         spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)  # what the first has freed holds the rest
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
     out.scratch_path = path
     return out
