@@ -11,6 +11,7 @@ from wayhall.operators import areas as area_ops
 from wayhall.operators import base, graph, lifts, outline, verticals
 from wayhall.operators import doors as door_ops
 from wayhall.plans import paths
+from wayhall.plans.checkpoint import cut
 from wayhall.plans.spatial import storey_list
 from wayhall.schema import DOOR, RAMP, STAIR
 from wayhall.sources.tables import Building
@@ -35,22 +36,22 @@ def read_graph(spark: SparkSession, path: str) -> Graph:
 
 
 def build_graph(building: Building) -> Graph:
-    """All stages; each relation is one lazy plan but for the ordered passes, which settle first."""
+    """All stages. What several stages read is computed once, in the folder of spark.checkpoint.dir; the rest is lazy."""
     elements, vertices = building.elements, building.vertices
-    geo = base.geometry(vertices)
-    storeys = base.storeys(elements)
-    levels = storey_list(storeys)
-    areas = area_ops.areas(elements, geo, levels)
-    doors = door_ops.doors(elements, geo, levels, vertices, building.rel_fills, building.rel_voids)
-    flights, ramps = (f(elements, vertices, levels) for f in (verticals.flight_ends, verticals.ramp_ends))
+    geo = cut(base.geometry(vertices))
+    storeys = cut(base.storeys(elements))
+    levels = cut(storey_list(storeys))
+    areas = cut(area_ops.areas(elements, geo, levels))
+    doors = cut(door_ops.doors(elements, geo, levels, vertices, building.rel_fills, building.rel_voids))
+    flights, ramps = (cut(f(elements, vertices, levels)) for f in (verticals.flight_ends, verticals.ramp_ends))
     stair_nodes, ramp_nodes = verticals.end_nodes(flights, STAIR), verticals.end_nodes(ramps, RAMP)
-    lift_nodes = lifts.lift_nodes(lifts.lifts(elements, geo, levels, doors))
+    lift_nodes = cut(lifts.lift_nodes(lifts.lifts(elements, geo, levels, doors)))
     axes = {f"wall_{k}_{c}": F.col(f"{k}.{c}") for k in ("axis", "normal") for c in "xy"}
     plain = ["model_id", "id", "name", "type", "level", "x", "y", "z", "accessible", "ord"]
     rows = doors.withColumn("type", F.lit(DOOR)).withColumns(axes).select(*plain, "width", *axes)
     for part in (areas.withColumn("accessible", F.lit(True)), stair_nodes, ramp_nodes, lift_nodes):
         rows = rows.unionByName(part.select(*plain), allowMissingColumns=True)
-    nodes = graph.upsert_nodes(rows)
+    nodes = cut(graph.upsert_nodes(rows))
     parts = [
         door_ops.door_edges(door_ops.door_areas(doors, areas)),
         verticals.inner_edges(flights, STAIR),
@@ -63,7 +64,7 @@ def build_graph(building: Building) -> Graph:
     edge_rows = parts[0]
     for p in parts[1:]:
         edge_rows = edge_rows.unionByName(p)
-    edges = graph.assemble_edges(edge_rows, nodes)
+    edges = cut(graph.assemble_edges(edge_rows, nodes))
     lines = outline.outlines(elements, vertices, building.rel_boundary, geo, levels)
     return Graph(storeys, nodes, edges, lines)
 
