@@ -131,7 +131,7 @@ def consecutive_flights(ends: DataFrame, rel_aggregates: DataFrame, elements: Da
     """from_id, to_id and their ends: neighbouring flights of one stair in the order of their base."""
     stairs = scan(elements, "IfcStair").select("model_id", F.col("element_id").alias("parent_id")).distinct()
     parts = rel_aggregates.join(stairs, ["model_id", "parent_id"], "left_semi").withColumnRenamed("child_id", "element_id")
-    flights = parts.select("model_id", "parent_id", "element_id", F.col("seq").alias("rel"), "child_pos").join(ends.drop("seq"), KEY)
+    flights = parts.select("model_id", "parent_id", "element_id", F.col("seq").alias("rel"), "child_pos").join(ends.select(*KEY, *(f"{p}{k}" for p in "se" for k in "xyz")), KEY)
     order = Window.partitionBy("model_id", "parent_id").orderBy("sz", "rel", "child_pos")
     nxt = lambda c: F.lead(c).over(order)
     rows = flights.select("model_id", "parent_id", F.col("element_id").alias("from_id"), nxt("element_id").alias("to_id"), "ex", "ey", "ez", *(nxt(c).alias(c) for c in ("sx", "sy", "sz")), "rel", "child_pos")
