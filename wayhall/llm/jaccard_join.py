@@ -37,7 +37,7 @@ WORDS, SIMILARITY = 5, 80
 HEAVY, HEAVY_FROM = 1 << 17, 16
 FEW = 16
 FRAGMENTS = 4
-MAP_LONGS = 8
+LEAST_BITS = 512
 LEADERS = 3
 SEED = 41
 
@@ -103,6 +103,16 @@ def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def parity_bitmap(s: np.ndarray) -> np.ndarray:
+    """A bit for each slot that an odd number of shingles fall into; the number of slots is the power of two not below the set's size.
+
+    Folding the halves of a bitmap gives the one of half as many slots.
+    """
+    bits = max(LEAST_BITS, 1 << max(0, len(s) - 1).bit_length())
+    odd = np.bincount((mix(s + U(3)) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _rows(docs: DataFrame, heavy: Broadcast, k: int, percent: int) -> DataFrame:
     """row_id, doc_id, n, digest; on the first row of a set in each task (lead) also prefix and bitmap."""
 
@@ -119,8 +129,7 @@ def _rows(docs: DataFrame, heavy: Broadcast, k: int, percent: int) -> DataFrame:
                 if first:
                     seen.add(d)
                     prefix.append(signed(order.arranged(s)[0][: prefix_length(len(s), percent)]))
-                    bits = np.bincount((mix(s + U(3)) >> U(64 - 9)).astype(np.int64), minlength=64 * MAP_LONGS) & 1
-                    bitmap.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+                    bitmap.append(parity_bitmap(s))
                 else:
                     prefix.append(None)
                     bitmap.append(None)
@@ -169,21 +178,28 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).where("u <> v").distinct()
 
 
+def _apart(x: Column, y: Column) -> Column:
+    """Bits in which two parity bitmaps differ; a longer one is folded. 0 if one is over twice as long as the other."""
+    short, long_ = F.when(F.size(x) <= F.size(y), x).otherwise(y), F.when(F.size(x) <= F.size(y), y).otherwise(x)
+    n = F.size(short)
+    fold = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(long_, i).bitwiseXOR(F.get(long_, i + n)))
+    same = F.when(F.size(long_) == n, long_).when(F.size(long_) == 2 * n, fold).otherwise(short)
+    return F.aggregate(F.zip_with(short, same, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
+
+
 def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) that their parity bitmaps don't rule out, with sizes and digests.
 
     Bitmaps of two sets differ in at most as many bits as the sets differ in shingles.
     """
     x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bitmap").alias(f"m{c}"), F.col("digest").alias(f"d{c}"), F.col("rep_doc").alias(f"doc_{c}")) for c in "uv")
-    apart = sum((F.bit_count(F.get("mu", F.lit(i)).bitwiseXOR(F.get("mv", F.lit(i)))) for i in range(MAP_LONGS)), F.lit(0))
     both = F.col("nu") + F.col("nv")
-    found = pairs.join(x, "u").join(y, "v").where((100 + percent) * (both - apart) >= 2 * percent * both)
+    found = pairs.join(x, "u").join(y, "v").where((100 + percent) * (both - _apart(F.col("mu"), F.col("mv"))) >= 2 * percent * both)
     return materialise(found.drop("mu", "mv"), "near", release=True)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, heavy: Broadcast, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets link: partial overlaps by fragment, summed."""
-    near = _near(pairs, nodes, percent)
+def _verified(near: DataFrame, docs: DataFrame, heavy: Broadcast, k: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of _near() whose sets link: partial overlaps by fragment, summed."""
     wanted = materialise(near.select(F.explode(F.array("doc_u", "doc_v")).alias("wanted")).distinct(), "wanted", release=True)
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     # Rows repeated with one id give one set more than once.
@@ -194,11 +210,38 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, heavy: Broadc
     total = partial.groupBy("u", "v", "nu", "nv").agg(F.sum("overlap").alias("overlap"))
     links = total.where(100 * F.col("overlap") >= percent * (F.col("nu") + F.col("nv") - F.col("overlap")))
     links = materialise(links.select("u", "v", "overlap"), "links", release=True)
-    for done in (near, wanted, sets):
-        discard(done)
+    discard(wanted)
+    discard(sets)
     return links
 
 
+def _joined(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, heavy: Broadcast, k: int, percent: int, links: DataFrame | None) -> tuple[DataFrame | None, DataFrame]:
+    """links with those among pairs, and the roots they give.
+
+    Each node's pair with its smallest partner is verified first; of the others only those that still lie in different
+    components are.
+    """
+    near = _near(pairs, nodes, percent)
+    first = near.groupBy("v").agg(F.min("u").alias("u"))
+    first = materialise(near.join(first, ["u", "v"], "left_semi"), "first")
+    links = _plus(links, _verified(first, docs, heavy, k, percent))
+    roots = materialise(components(links), "roots")
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    rest = near.join(first, ["u", "v"], "left_anti").join(root("u"), "u", "left").join(root("v"), "v", "left")
+    rest = rest.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).drop("root_u", "root_v")
+    rest = materialise(rest, "rest", release=True)
+    if not rest.isEmpty():
+        links = _plus(links, _verified(rest, docs, heavy, k, percent))
+        roots = materialise(components(links), "roots")
+    for done in (near, first, rest):
+        discard(done)
+    return links, roots
+
+
+def _plus(links: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if links is None else links.unionByName(more)
+
+
 def _rooted(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """The postings of shared whose shingle still has nodes of different components, with their root."""
     known = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -278,14 +321,12 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     open_ = _rooted(many, spark.createDataFrame([], "node long, root long"))
     pairs = materialise(_pairs(small).unionByName(_starred(open_, 0, percent)).distinct(), "pairs", release=True)
     discard(shared)
-    links = _verified(pairs, nodes, docs, heavy, words, percent)
-    roots = materialise(components(links), "roots")
+    links, roots = _joined(pairs, nodes, docs, heavy, words, percent, None)
     for turn in range(1, LEADERS + 1):
         open_ = _rooted(many, roots)
         if open_.isEmpty():
             break
         more = materialise(_starred(open_, turn, percent) if turn < LEADERS else _across(open_, percent), "pairs", release=True)
         if not more.isEmpty():
-            links = links.unionByName(_verified(more, nodes, docs, heavy, words, percent))
-            roots = materialise(components(links), "roots")
+            links, roots = _joined(more, nodes, docs, heavy, words, percent, links)
     return rows.select("doc_id", "n", "digest"), roots, nodes
