@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from wayhall.llm import exact_dedup, jaccard_join, mixing, packing, quality
-from wayhall.llm.queries import GRADE, KEEP_AT, KEEP_FROM
+from wayhall.llm.queries import KEEP_AT, KEEP_FROM, grade
 from wayhall.llm.scratch import materialise
 
 MAX_LEN, END_ID, MIX_SEED = 4096, 2, 7
@@ -18,7 +18,7 @@ MAX_LEN, END_ID, MIX_SEED = 4096, 2, 7
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.select_quality(docs, labels, GRADE, KEEP_FROM, KEEP_AT)
+    return quality.select_quality(docs, labels, grade(), KEEP_FROM, KEEP_AT)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

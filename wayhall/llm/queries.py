@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
@@ -39,13 +39,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
-#: Grades of the ratings: 0 for poor text, 1 for good text that is toxic, 2 for good text.
-GRADE = F.col("quality") * (2 - F.coalesce("toxic", F.lit(0)))
+def grade() -> Column:
+    """Grades of the ratings: 0 for poor text, 1 for good text that is toxic, 2 for good text."""
+    return F.col("quality") * (2 - F.coalesce("toxic", F.lit(0)))
+
+
 KEEP_FROM, KEEP_AT = 1.0, 0.5
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = quality.fit_quality(documents(spark, sf_dir), labels(spark, sf_dir), GRADE)
+    model = quality.fit_quality(documents(spark, sf_dir), labels(spark, sf_dir), grade())
     return quality.score_quality(documents(spark, sf_dir), model, ["doc_id"], KEEP_FROM, KEEP_AT)
 
 
