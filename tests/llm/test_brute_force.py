@@ -165,7 +165,7 @@ def test_licenses(spark):
     got = {r["doc_id"]: r for r in license_scan.scan_licenses(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect()}
     assert [got[i]["n_base"] for i in range(9)] == [3, 2, 0, 0, 0, 0, 0, 0, 1]
     assert (got[0]["first_word"], got[0]["last_word"], got[0]["base_labels"]) == (0, 5, "cc-by,reserved")
-    assert (got[1]["first_word"], got[1]["last_word"]) == (2, 6) and got[8]["first_word"] == 3000
+    assert (got[1]["first_word"], got[1]["last_word"]) == (2, 7) and got[8]["first_word"] == 3000
     assert got[2]["labels"] == "mit" and got[6]["labels"] == "mit" and got[2]["base_labels"] == ""
     assert got[4]["n_words"] == 0 and got[4]["first_word"] is None and all(0 <= r["score"] <= 1 for r in got.values())
 

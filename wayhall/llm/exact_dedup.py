@@ -46,6 +46,10 @@ def _keys(block: Column, seed: int) -> Column:
     return F.struct(F.xxhash64(F.lit(2 * seed), block).alias("h1"), F.xxhash64(F.lit(2 * seed + 1), block).alias("h2"))
 
 
+def _all_keys(blocks: Column, keys_of, seed: int) -> Column:  # noqa: ANN001
+    return F.transform(blocks, lambda block: keys_of(block, seed))
+
+
 def block_identities(docs: DataFrame, carry: list[Column], text_col: str = "text", block_chars: int = BLOCK_CHARS, keys_of=_keys) -> tuple[DataFrame, DataFrame]:
     """Rows of docs (row_id, n_chars, text_sha256 and the carried columns c0, c1, ...), and row_id, rounds, name.
 
@@ -62,7 +66,7 @@ def block_identities(docs: DataFrame, carry: list[Column], text_col: str = "text
                 *(F.col(f"c{i}") for i in range(len(carry))),
                 F.char_length(F.coalesce("__text", F.lit(""))).cast("long").alias("n_chars"),
                 F.sha2(norm.cast("binary"), 256).alias("text_sha256"),
-                F.transform(_blocks(norm, block_chars), lambda b, s=seed: keys_of(b, s)).alias("keys"),
+                _all_keys(_blocks(norm, block_chars), keys_of, seed).alias("keys"),
             ),
             "rows",
         )
