@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from wayhall.llm.scratch import discard, materialise
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges (u, v) are stars: no node on both sides, no v twice."""
+    sides = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(0).alias("low")), F.struct(F.col("v").alias("node"), F.lit(1).alias("low")))).alias("s")).select("s.*")
+    seen = sides.groupBy("node").agg(F.sum("low").alias("below"), F.count(F.lit(1)).alias("n"))
+    return seen.where((F.col("below") > 1) | ((F.col("below") > 0) & (F.col("n") > F.col("below")))).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,8 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     isn't gathered in one task.
     """
     now = materialise(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-    state = _state(now)
-    while True:
+    while not _settled(now):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
@@ -29,11 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.withColumnRenamed("v", "w").join(low, "w")
         small = joined.select(F.col("m").alias("u"), F.explode(F.array("u", "w")).alias("v")).where("u <> v").distinct()
         small = materialise(small, "small")
-        new = _state(small)
         discard(now)
         discard(large)
         now = small
-        if new == state:
-            break
-        state = new
     return now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("root"))).distinct()

@@ -9,9 +9,9 @@ overlaps in each fragment, which are counted separately.
    are dealt by shingle. Pairs must also pass bounds on the overlap from their sizes, from where the shared shingle
    stands and from parity bitmaps; all these bounds are exact, none loses a link.
 3. Shingles with few nodes give all their pairs. Those with many would give a number that grows with the square, so there
-   each node is paired with one leader first. Links make components. Shingles whose nodes are all in one component need
-   nothing more; for the rest other leaders are tried, and at last every pair of nodes from different components is
-   looked at. So links inside a component may stay uncounted, but no component is missed.
+   each node is paired with LEADERS leaders first. Links make components. Shingles whose nodes are all in one component
+   need nothing more; for the rest every pair of nodes from different components is looked at. So links inside a
+   component may stay uncounted, but no component is missed.
 4. Candidate pairs are verified by vertical partitioning: partial overlaps by fragment, summed by pair.
 
 The shingle order depends on a broadcast list of at most HEAVY shingles; which ones are in it changes the speed, never
@@ -242,25 +242,24 @@ def _plus(links: DataFrame | None, more: DataFrame) -> DataFrame:
     return more if links is None else links.unionByName(more)
 
 
-def _rooted(shared: DataFrame, roots: DataFrame) -> DataFrame:
+def _rooted(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
     """The postings of shared whose shingle still has nodes of different components, with their root."""
-    known = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    known = materialise(known, "rooted")
+    known = shared.withColumn("root", F.col("node")) if roots is None else shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = known.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
     return materialise(known.join(open_, "h", "left_semi"), "open")
 
 
-def _starred(open_: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs of each node with its shingle's leader of this turn, if they are in different components."""
-    pick = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("o"), "node", "n", "pos", "root"))
-    leaders = materialise(open_.groupBy("h").agg(pick.alias("l")).select("h", "l.*"), "leaders")
-    return _pairs(open_.alias("a").join(leaders.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.root") != F.col("b.root")) & _may_link(percent)))
+def _starred(open_: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each node with each of its shingle's LEADERS leaders."""
+    pick = [F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("o"), "node", "n", "pos")) for turn in range(LEADERS)]
+    leaders = open_.groupBy("h").agg(F.array(*pick).alias("l")).select("h", F.explode("l").alias("l")).select("h", "l.*")
+    return _pairs(open_.alias("a").join(leaders.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.node") != F.col("b.node")) & _may_link(percent)))
 
 
 def _across(open_: DataFrame, percent: int) -> DataFrame:
     """All pairs of nodes of a shingle from different components; its largest component is only met by the others."""
     sizes = open_.groupBy("h", "root").count()
-    main = materialise(sizes.groupBy("h").agg(F.max(F.struct("count", "root"))["root"].alias("main")), "main")
+    main = sizes.groupBy("h").agg(F.max(F.struct("count", "root"))["root"].alias("main"))
     told = materialise(open_.join(main, "h"), "told")
     others = told.where("root <> main").alias("a")
     apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
@@ -318,15 +317,12 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     few_ones = shared.where(F.col("c") <= few)
     small = few_ones.alias("a").join(few_ones.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.node") < F.col("b.node")) & _may_link(percent))
     many = materialise(shared.where(F.col("c") > few), "many")
-    open_ = _rooted(many, spark.createDataFrame([], "node long, root long"))
-    pairs = materialise(_pairs(small).unionByName(_starred(open_, 0, percent)).distinct(), "pairs", release=True)
+    pairs = materialise(_pairs(small).unionByName(_starred(many, percent)).distinct(), "pairs", release=True)
     discard(shared)
     links, roots = _joined(pairs, nodes, docs, heavy, words, percent, None)
-    for turn in range(1, LEADERS + 1):
-        open_ = _rooted(many, roots)
-        if open_.isEmpty():
-            break
-        more = materialise(_starred(open_, turn, percent) if turn < LEADERS else _across(open_, percent), "pairs", release=True)
-        if not more.isEmpty():
-            links, roots = _joined(more, nodes, docs, heavy, words, percent, links)
+    open_ = _rooted(many, roots)
+    if not open_.isEmpty():
+        pairs = materialise(_across(open_, percent), "pairs", release=True)
+        if not pairs.isEmpty():
+            _, roots = _joined(pairs, nodes, docs, heavy, words, percent, links)
     return rows.select("doc_id", "n", "digest"), roots, nodes
