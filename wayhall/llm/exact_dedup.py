@@ -96,7 +96,8 @@ def _winners(rows: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with their identity, and for each identity its size and the row that stays."""
     ids = materialise(rows.join(done, "row_id"), "identities")
     order = F.struct((-F.col("n_chars")).alias("n"), F.col("c0").isNull().alias("none"), "c0", "row_id")
-    return ids, ids.groupBy("rounds", "name").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("best"))
+    # Written first: a join of two plain tables is one that Spark can split where a group is large.
+    return ids, materialise(ids.groupBy("rounds", "name").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("best")), "best")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, keys_of=_keys) -> DataFrame:
