@@ -10,7 +10,8 @@ overlaps in each fragment, which are counted separately.
    stands and from parity bitmaps; all these bounds are exact, none loses a link.
 3. Shingles with few nodes give all their pairs. Those with many would give a number that grows with the square, so there
    each node is paired with LEADERS leaders first. Links make components. Shingles whose nodes are all in one component
-   need nothing more; for the rest every pair of nodes from different components is looked at. So links inside a
+   need nothing more. Where there are others, their nodes are paired with RETRIES of the largest component, and for what is
+   still apart then every pair of nodes from different components is looked at. So links inside a
    component may stay uncounted, but no component is missed.
 4. Candidate pairs are verified by vertical partitioning: partial overlaps by fragment, summed by pair.
 
@@ -34,11 +35,11 @@ from wayhall.llm.scratch import discard, materialise
 from wayhall.llm.textkit import U, Hasher, chunks, grams, mix, not_white, signed
 
 WORDS, SIMILARITY = 5, 80
-HEAVY, HEAVY_FROM = 1 << 17, 16
+HEAVY, HEAVY_FROM = 1 << 18, 16
 FEW = 16
 FRAGMENTS = 4
 LEAST_BITS = 512
-LEADERS = 3
+LEADERS, RETRIES = 3, 12
 SEED = 41
 
 
@@ -63,9 +64,10 @@ def heavy_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, size = [], 0
+            held, size, seen = [], 0, set()
             for s in (*shingles(batch.column(0), k), None):
-                if s is not None:
+                if s is not None and (d := digest(s)) not in seen:  # equal sets are one node
+                    seen.add(d)
                     held.append(s)
                     size += len(s)
                 if held and (s is None or size > 1 << 22):
@@ -256,11 +258,23 @@ def _starred(open_: DataFrame, percent: int) -> DataFrame:
     return _pairs(open_.alias("a").join(leaders.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.node") != F.col("b.node")) & _may_link(percent)))
 
 
+def _retried(open_: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the nodes outside their shingle's largest component with RETRIES nodes of that one."""
+    told = _told(open_)
+    pick = [F.min(F.struct(F.xxhash64(F.lit(LEADERS + turn), "node").alias("o"), "node", "n", "pos")) for turn in range(RETRIES)]
+    leaders = told.where("root = main").groupBy("h").agg(F.array_distinct(F.array(*pick)).alias("l")).select("h", F.explode("l").alias("l")).select("h", "l.*")
+    return _pairs(told.where("root <> main").alias("a").join(leaders.alias("b"), (F.col("a.h") == F.col("b.h")) & _may_link(percent)))
+
+
+def _told(open_: DataFrame) -> DataFrame:
+    """open_ with main: the root of each shingle's largest component."""
+    sizes = open_.groupBy("h", "root").count()
+    return open_.join(sizes.groupBy("h").agg(F.max(F.struct("count", "root"))["root"].alias("main")), "h")
+
+
 def _across(open_: DataFrame, percent: int) -> DataFrame:
     """All pairs of nodes of a shingle from different components; its largest component is only met by the others."""
-    sizes = open_.groupBy("h", "root").count()
-    main = sizes.groupBy("h").agg(F.max(F.struct("count", "root"))["root"].alias("main"))
-    told = materialise(open_.join(main, "h"), "told")
+    told = materialise(_told(open_), "told")
     others = told.where("root <> main").alias("a")
     apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
     return _pairs(others.join(told.alias("b"), apart & _may_link(percent)))
@@ -320,9 +334,11 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     pairs = materialise(_pairs(small).unionByName(_starred(many, percent)).distinct(), "pairs", release=True)
     discard(shared)
     links, roots = _joined(pairs, nodes, docs, heavy, words, percent, None)
-    open_ = _rooted(many, roots)
-    if not open_.isEmpty():
-        pairs = materialise(_across(open_, percent), "pairs", release=True)
+    for tried in (_retried, _across):
+        open_ = _rooted(many, roots)
+        if open_.isEmpty():
+            break
+        pairs = materialise(tried(open_, percent), "pairs", release=True)
         if not pairs.isEmpty():
-            _, roots = _joined(pairs, nodes, docs, heavy, words, percent, links)
+            links, roots = _joined(pairs, nodes, docs, heavy, words, percent, links)
     return rows.select("doc_id", "n", "digest"), roots, nodes
