@@ -1,28 +1,31 @@
 """LM scoring with a probabilistic suffix tree (operator 2).
 
 Tokens are words, lower-cased, and one end for each text. All training tokens are counted, and give the base
-distribution (c + 1) / (N + V + 1), in which every unknown word gets 1 / (N + V + 1). The suffix tree predicts over an
-alphabet of the SYMBOLS - 1 most frequent tokens and one symbol for all others; a word of the others gets that symbol's
-probability times its own share in the base distribution, so the model is a distribution over all texts.
-
-A context is the last 1 to ``depth`` symbols of a text. It is a candidate if it has at least the share P_MIN of all
-tokens, and it is retained if its next-symbol distribution diverges from that of its longest proper suffix: its count
-times the Kullback-Leibler divergence must reach DIVERGENCE. Next-symbol counts of a retained context are smoothed by
-adding PRIOR pseudo-counts spread like the suffix's distribution; entries with less than P_ENTRY of all tokens are left to
-that spread too. A token is scored from the longest retained context that the text before it ends with.
-
-Counts of tokens and of contexts are gathered from the whole corpus by Spark. The tree has at most 1 / P_ENTRY entries at
-each depth, whatever the size of the corpus, so it may be sent to all executors; so may the FREQUENT most frequent
-tokens' counts. The other tokens' counts are joined by Spark.
+distribution (c + 1) / (N + V + 1), in which every unknown word gets 1 / (N + V + 1). The suffix tree predicts over the
+same alphabet: all tokens of the training rows, and the unknown ones.
+
+A context is the last 1 to ``depth`` tokens of a text. It is a candidate if it was seen MIN_COUNT times, and it is retained
+if its next-token distribution diverges from that of its longest proper suffix: its count times the Kullback-Leibler
+divergence must reach DIVERGENCE. Neither threshold depends on the corpus's size. Next-token counts of a retained context
+are smoothed by adding PRIOR pseudo-counts spread like the suffix's distribution. A token is scored from the longest
+retained context that the text before it ends with.
+
+The factor that a context adds to the probability of its suffix, (c / p + PRIOR) / (total + PRIOR), is the context's own
+for tokens never seen after it, times one that belongs to the run of tokens that context and token make. So the tree is a
+table of runs with a logarithm each, a text's score is the sum over its runs, and runs are joined to the table by Spark:
+nothing of the tree is held by the driver or sent to executors whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,16 +33,18 @@ from wayhall.llm.samples import fold
 from wayhall.llm.scratch import discard, materialise
 from wayhall.llm.textkit import U, Chunk, Hasher, chunks, mix, not_white, signed
 
+#: How many tokens Tree.log10() numbers.
 SYMBOLS = 4096
-FREQUENT = 1 << 17
-DEPTH = 2
-P_MIN = 2.0**-16
-P_ENTRY = 2.0**-20
+#: Contexts have at least so many tokens at most, and one more for each DEPTH_BITS binary digits of the number of tokens.
+DEPTH, DEPTH_BITS = 2, 10
+MIN_COUNT = 2
 PRIOR = 20.0
 DIVERGENCE = 12.0
 SEED = 61
+BLOCK, PIECE = 1 << 21, 1 << 18
 #: The hash of the end token; words' hashes may only meet it by chance, like each other.
 END = mix(np.array([SEED], U))[0]
+FACTOR = U(int(mix(np.array([SEED + 1], U))[0]) | 1)
 
 
 def token_hashes(chunk: Chunk, hasher: Hasher) -> np.ndarray:
@@ -77,71 +82,103 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def depth_for(n: int) -> int:
+    """How long contexts may be in a corpus of n tokens."""
+    return max(DEPTH, int(math.log2(max(n, 1))) // DEPTH_BITS)
+
+
+def longer(runs: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Hashes of the runs that end at each token and are one token longer than those given; the first has none."""
+    out = np.zeros(len(h), U)
+    out[1:] = mix(runs[:-1] * FACTOR + h[1:])
+    return out
+
+
+def count_runs(texts: DataFrame, size: int) -> DataFrame:
+    """h, context, suffix, c: counts of the runs of size tokens, and the hashes of what is before the last and after the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+
+        def out() -> pa.RecordBatch:
+            h, context, suffix = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, at, n = np.unique(h, return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(signed(context[at])), pa.array(signed(suffix[at])), pa.array(n)], ["h", "context", "suffix", "c"])
+
+        for _, c, h in _stream(batches, 0):
+            last = h
+            for _ in range(size - 2):
+                last = longer(last, h)
+            at = np.flatnonzero(places(c) >= size - 1)
+            held.append((longer(last, h)[at], last[at - 1], last[at]))
+            many += len(at)
+            if many > BLOCK:
+                yield out()
+                held, many = [], 0
+        if many:
+            yield out()
+
+    found = texts.select("text").mapInArrow(run, "h long, context long, suffix long, c long")
+    return found.groupBy("h").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.sum("c").alias("c"))
+
+
 @dataclass
 class Tree:
-    """The frequent tokens, the symbols and the retained contexts."""
+    """The tokens (h, c), and for each length of contexts the retained ones (context, total) and the runs (h, p, own) one longer.
+
+    p is a run's last token's probability after the others. own is null on runs whose context isn't retained.
+    """
 
     n: int
     v: int
-    hashes: np.ndarray
-    counts: np.ndarray
-    symbol: np.ndarray
-    root: np.ndarray
-    levels: list[dict[str, np.ndarray]] = field(default_factory=list)
-
-    @classmethod
-    def start(cls, frequent: pa.Table, n: int, v: int) -> Tree:
-        h, c = frequent.column("h").to_numpy().view(U), frequent.column("c").to_numpy()
-        symbol = np.where(np.arange(len(h)) < SYMBOLS - 1, np.arange(len(h)) + 1, 0).astype(np.int32)
-        own = np.minimum(len(h), SYMBOLS - 1)
-        root = np.zeros(SYMBOLS)
-        root[1 : own + 1] = (c[:own] + 1) / (n + v + 1)
-        root[0] = max(1 - root.sum(), 1 / (n + v + 1))
-        order = np.argsort(h)
-        return cls(n, v, h[order], c[order], symbol[order], root)
-
-    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts (0: not among the frequent) and symbols of tokens."""
-        if not len(self.hashes):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), np.int32)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        hit = self.hashes[at] == h
-        return np.where(hit, self.counts[at], 0), np.where(hit, self.symbol[at], 0)
-
-    def contexts(self, symbols: np.ndarray, inside: np.ndarray, depth: int) -> np.ndarray:
-        """Index of the retained context of exactly this depth before each token; -1 where there is none."""
-        level, n = self.levels[depth - 1], len(symbols)
-        out = np.full(n, -1, np.int64)
-        if n > depth and len(level["context"]):
-            at = np.flatnonzero(inside >= depth)
-            code = context_code(symbols, at, depth)
-            place = np.minimum(np.searchsorted(level["context"], code), len(level["context"]) - 1)
-            hit = level["context"][place] == code
-            out[at[hit]] = place[hit]
+    counts: DataFrame
+    contexts: list[DataFrame] = field(default_factory=list)
+    runs: list[DataFrame] = field(default_factory=list)
+
+    def values(self) -> DataFrame:
+        """h, value, word: what a run adds to the log10 of the base score (words, less log10(n + v + 1)) and of the tree's. A run may have several rows."""
+        out = self.counts.select("h", F.log10(F.col("c") + 1.0).alias("value"), F.lit(True).alias("word"))
+        for contexts, runs in zip(self.contexts, self.runs, strict=True):
+            out = out.unionByName(contexts.select(F.col("context").alias("h"), unseen(F.col("total")).alias("value"), F.lit(False).alias("word")))
+            out = out.unionByName(runs.where("own IS NOT NULL").select("h", F.col("own").alias("value"), F.lit(False).alias("word")))
+        return out
+
+    @cached_property
+    def levels(self) -> list[dict[str, np.ndarray]]:
+        """A small tree in the driver: hashes of contexts and of runs with what they add."""
+        out = []
+        for contexts, runs in zip(self.contexts, self.runs, strict=True):
+            c = contexts.select("context", unseen(F.col("total")).alias("value")).orderBy("context").toArrow()
+            r = runs.where("own IS NOT NULL").select("h", "own").orderBy("h").toArrow()
+            out.append({"context": c.column(0).to_numpy(), "unseen": c.column(1).to_numpy(), "run": r.column(0).to_numpy(), "own": r.column(1).to_numpy()})
+        return out
+
+    @cached_property
+    def symbols(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and base probability of each symbol: 0 the unknown, then the most frequent tokens."""
+        top = self.counts.orderBy(F.desc("c"), "h").limit(SYMBOLS - 1).toArrow()
+        own, p = np.arange(SYMBOLS).astype(U), np.zeros(SYMBOLS)
+        own[1 : len(top) + 1] = top.column("h").to_numpy().view(U)
+        p[: len(top) + 1] = np.concatenate([[1], top.column("c").to_numpy() + 1]) / (self.n + self.v + 1)
+        return own, p
+
+    def log10(self, symbols: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """log10 P(symbol | longest retained context) in a small tree; inside: how many tokens of its text stand before each."""
+        names, base = self.symbols
+        h = names[symbols]
+        out, run = np.log10(base[symbols]), h
+        for d, level in enumerate(self.levels, 1):
+            before, run = np.roll(run, 1), longer(run, h)
+            for keys, adds, x in ((level["context"], level["unseen"], before), (level["run"], level["own"], run)):
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, signed(x)), len(keys) - 1)
+                    out += np.where((keys[at] == signed(x)) & (inside >= d), adds[at], 0)
         return out
 
-    def log10(self, symbols: np.ndarray, inside: np.ndarray, depth: int | None = None) -> np.ndarray:
-        """log10 P(symbol | longest retained context of at most depth)."""
-        p = self.root[symbols]
-        for d in range(1, (len(self.levels) if depth is None else depth) + 1):
-            level, context = self.levels[d - 1], self.contexts(symbols, inside, d)
-            at = np.flatnonzero(context >= 0)
-            if not len(at):
-                continue
-            x = context[at]
-            key = x * SYMBOLS + symbols[at]
-            place = np.minimum(np.searchsorted(level["entry"], key), max(0, len(level["entry"]) - 1))
-            seen = np.where(level["entry"][place] == key, level["count"][place], 0) if len(level["entry"]) else 0
-            p[at] = (seen + level["spread"][x] * p[at]) / level["total"][x]
-        return np.log10(p)
-
-
-def context_code(symbols: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """The depth symbols before each position as one integer, the nearest in the lowest digits."""
-    code = np.zeros(len(at), np.int64)
-    for d in range(depth, 0, -1):
-        code = code * SYMBOLS + symbols[at - d]
-    return code
+
+def unseen(total):  # noqa: ANN001, ANN201
+    """The log10 of what a context leaves of its suffix's probability of tokens never seen after it."""
+    return F.log10(F.lit(PRIOR) / (total + F.lit(PRIOR)))
 
 
 def places(chunk: Chunk) -> np.ndarray:
@@ -150,152 +187,98 @@ def places(chunk: Chunk) -> np.ndarray:
     return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def count_contexts(texts: DataFrame, tree: Tree, depth: int, within: np.ndarray | None) -> DataFrame:
-    """code, c: counts of (context of this depth, next symbol); only for contexts in within, if given."""
-    spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast((tree, within))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, own = sent.value
-        held, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "c"])
-
-        for _, c, h in _stream(batches, 0):
-            symbols = model.look(h)[1].astype(np.int64)
-            at = np.flatnonzero(places(c) >= depth)
-            code = context_code(symbols, at, depth)
-            if own is not None:
-                place = np.minimum(np.searchsorted(own, code), max(0, len(own) - 1))
-                hit = own[place] == code if len(own) else np.zeros(len(code), bool)
-                at, code = at[hit], code[hit]
-            held.append(code * SYMBOLS + symbols[at])
-            size += len(at)
-            if size > 1 << 22:
-                yield out()
-                held, size = [], 0
-        if held:
-            yield out()
-
-    return texts.select("text").mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
-
-
-def grow(tree: Tree, table: pa.Table, totals: pa.Table, depth: int) -> None:
-    """Add the contexts of this depth that diverge enough from their suffix."""
-    context, total = totals.column("context").to_numpy(), totals.column("total").to_numpy().astype(float)
-    order = np.argsort(context)
-    context, total = context[order], total[order]
-    code, count = table.column("code").to_numpy(), table.column("c").to_numpy().astype(float)
-    order = np.argsort(code)
-    code, count = code[order], count[order]
-    own, symbol = code // SYMBOLS, code % SYMBOLS
-    at = np.searchsorted(context, own)
-    # The suffix's distribution at these entries.
-    before = tree.root[symbol]
-    for d in range(1, depth):
-        level = tree.levels[d - 1]
-        part = own % SYMBOLS**d
-        place = np.minimum(np.searchsorted(level["context"], part), max(0, len(level["context"]) - 1))
-        hit = level["context"][place] == part if len(level["context"]) else np.zeros(len(part), bool)
-        if hit.any():
-            x = place[hit]
-            key = x * SYMBOLS + symbol[hit]
-            e = np.minimum(np.searchsorted(level["entry"], key), max(0, len(level["entry"]) - 1))
-            seen = np.where(level["entry"][e] == key, level["count"][e], 0) if len(level["entry"]) else 0
-            before[hit] = (seen + level["spread"][x] * before[hit]) / level["total"][x]
-    kept = np.bincount(at, weights=count, minlength=len(context))
-    p = count / total[at]
-    gain = np.bincount(at, weights=count * np.log(p / before), minlength=len(context)).astype(float)
-    left = np.maximum(total - kept, 0)
-    rest = np.maximum(1 - np.bincount(at, weights=before, minlength=len(context)), 1e-12)
-    gain += np.where(left > 0, left * np.log(np.maximum(left, 1) / total / rest), 0)
-    stay = gain >= DIVERGENCE
-    new = np.cumsum(stay) - 1
-    use = stay[at]
-    tree.levels.append({
-        "context": context[stay],
-        "total": total[stay] + PRIOR,
-        "spread": (left + PRIOR)[stay],
-        "entry": new[at[use]] * SYMBOLS + symbol[use],
-        "count": count[use],
-    })
-
-
-def fit_tree(texts: DataFrame, counts: DataFrame, depth: int = DEPTH) -> Tree:
+def fit_tree(texts: DataFrame, counts: DataFrame, depth: int | None = None) -> Tree:
     """The tree of training texts, whose token counts (h, c) are given."""
     sums = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-    n, v = int(sums[0] or 0), int(sums[1])
-    frequent = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
-    tree = Tree.start(frequent, n, v)
-    within = None
+    tree = Tree(int(sums[0] or 0), int(sums[1]), counts)
+    shorter = counts.select(F.col("h").alias("suffix"), ((F.col("c") + 1) / F.lit(float(tree.n + tree.v + 1))).alias("q"))
+    depth = depth_for(tree.n) if depth is None else depth
     for d in range(1, depth + 1):
-        found = materialise(count_contexts(texts, tree, d, within), "contexts", release=True)
-        context = F.floor(F.col("code") / SYMBOLS).cast("long")
-        # At most 1 / P_MIN contexts and 1 / P_ENTRY entries have such shares of n tokens.
-        totals = found.groupBy(context.alias("context")).agg(F.sum("c").alias("total")).where(F.col("total") >= max(2, n * P_MIN)).toArrow()
-        entries = found.where(F.col("c") >= max(2, n * P_ENTRY)).toArrow()
-        own = np.sort(totals.column("context").to_numpy())
-        have = np.isin(entries.column("code").to_numpy() // SYMBOLS, own)
-        grow(tree, entries.filter(pa.array(have)), totals, d)
-        discard(found)
-        # Contexts one longer end with a retained one, and are at least as frequent as their entries.
-        code, c = entries.column("code").to_numpy(), entries.column("c").to_numpy()
-        within = np.sort(code[c >= max(2, n * P_MIN)])
+        seen = materialise(count_runs(texts, d + 1).join(shorter, "suffix").select("h", "context", "c", "q"), "runs", release=True)
+        sums = seen.groupBy("context").agg(F.sum("c").alias("total"), F.sum(F.col("c") * F.log(F.col("c") / F.col("q"))).alias("s"))
+        kept = sums.where((F.col("total") >= MIN_COUNT) & (F.col("s") - F.col("total") * F.log("total") >= DIVERGENCE))
+        kept = materialise(kept.select("context", "total"), "contexts", release=True)
+        p = (F.col("c") + F.lit(PRIOR) * F.col("q")) / (F.col("total") + F.lit(PRIOR))
+        # Runs of the longest contexts are nobody's suffix.
+        told = seen.join(kept, "context", "left" if d < depth else "inner")
+        told = materialise(told.select("h", F.coalesce(p, "q").alias("p"), (F.log10(p / F.col("q")) - unseen(F.col("total"))).alias("own")), "told", release=True)
+        discard(seen)
+        tree.contexts.append(kept)
+        tree.runs.append(told)
+        shorter = told.select(F.col("h").alias("suffix"), F.col("p").alias("q"))
     return tree
 
 
-def score_texts(docs: DataFrame, counts: DataFrame, tree: Tree, folds: int, held_out: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(tree)
-    all_ = float(tree.n + tree.v + 1)
+def text_runs(docs: DataFrame, sizes: int) -> DataFrame:
+    """block, h, at, doc_id, n_tokens, head: the runs of 1 to sizes tokens in a block of texts, with the texts (at) they are in; and one row (head) for each text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["block", "h", "at", "doc_id", "n_tokens", "head"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        held, tokens, block, part = [], 0, 0, TaskContext.get().partitionId()
+
+        def rows(h: np.ndarray, cuts: np.ndarray, at: np.ndarray, ids: pa.Array, n: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(h), PIECE):
+                b = min(len(h), a + PIECE)
+                lists = pa.ListArray.from_arrays(pa.array(cuts[a : b + 1] - cuts[a], pa.int32()), pa.array(at[cuts[a] : cuts[b]], pa.int32()))
+                sized = pa.nulls(b - a, pa.int64()) if n is None else pa.array(n[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, part << 32 | block)), pa.array(signed(h[a:b])), lists, ids.slice(a, b - a), sized, pa.array(np.full(b - a, n is not None))], names)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            h, inside = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+            ids = pa.concat_arrays([x[0] for x in held])
+            n = np.concatenate([x[3] for x in held])
+            owner, each = np.repeat(np.arange(len(n)), n), np.arange(len(n) + 1)
+            # Heads meet nothing; their hashes only deal them out.
+            yield from rows(mix(each[:-1].astype(U) + U(part << 32 | block)), each, each[:-1], ids, n)
+            last = h
+            for size in range(1, sizes + 1):
+                last = h if size == 1 else longer(last, h)
+                at = np.flatnonzero(inside >= size - 1)
+                at = at[np.argsort(last[at])]
+                own = last[at]
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+                yield from rows(own[first], np.append(first, len(own)), owner[at], pa.nulls(len(first), ids.type), None)
+
         for batch, c, h in _stream(batches, 1):
-            sizes = c.counts + 1
-            owner = np.repeat(np.arange(c.docs), sizes)
-            count, symbol = model.look(h)
-            own = lambda x, to=owner, k=c.docs: np.bincount(to, weights=x, minlength=k)
-            base = np.log10(count + 1.0)
-            context = model.log10(symbol.astype(np.int64), places(c))
-            other = symbol == 0
-            # A word of the others: its share of their symbol. What its count adds, if it isn't frequent, comes later.
-            context[other] += base[other] - np.log10(all_) - np.log10(model.root[0])
-            rare = count == 0
-            ends = np.cumsum(np.bincount(owner[rare], minlength=c.docs))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(signed(h[rare])))
-            columns = [batch.column(0).slice(c.first, c.docs), pa.array(sizes), pa.array(own(~rare).astype(np.int64)), pa.array(own(base)), pa.array(own(context)), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "known", "base", "context", "rare"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, known long, base double, context double, rare array<long>")
-    rows = materialise(rows.withColumn("row_id", F.monotonically_increasing_id()), "scored", release=True)
-    rare = rows.select("row_id", F.explode("rare").alias("h")).join(counts, "h").groupBy("row_id").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("add"))
-    rare = materialise(rare, "rare", release=True)
-    more, add = F.coalesce("more", F.lit(0)), F.coalesce("add", F.lit(0.0))
-    return rows.drop("rare").join(rare, "row_id", "left").select(
+            held.append((batch.column(0).slice(c.first, c.docs), h, places(c), c.counts + 1))
+            tokens += len(h)
+            if tokens > BLOCK:
+                yield from out()
+                held, tokens, block = [], 0, block + 1
+        if held:
+            yield from out()
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"block long, h long, at array<int>, doc_id {kind}, n_tokens long, head boolean")
+
+
+def score_texts(docs: DataFrame, tree: Tree, folds: int, held_out: int) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    met = text_runs(docs, len(tree.runs) + 1).join(tree.values(), "h", "left").where("head OR value IS NOT NULL")
+    word = F.col("word") & ~F.col("head")
+    each = met.select("block", F.explode("at").alias("at"), "doc_id", "n_tokens", F.when(word, 1).alias("known"), F.when(word, F.col("value")).alias("base"), F.when(~F.col("word") & ~F.col("head"), F.col("value")).alias("more"))
+    sums = each.groupBy("block", "at").agg(*(F.max(c).alias(c) for c in ("doc_id", "n_tokens")), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("known", "base", "more")))
+    base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(tree.n + tree.v + 1)))
+    return materialise(sums.select(
         "doc_id",
         F.coalesce(fold("doc_id", folds) == held_out, F.lit(False)).alias("held_out"),
         "n_tokens",
-        (F.col("known") + more).alias("n_known"),
+        F.col("known").cast("long").alias("n_known"),
         F.lit(tree.n).cast("long").alias("train_tokens"),
-        (F.col("base") + add - F.col("n_tokens") * F.log10(F.lit(all_))).alias("base_score"),
-        (F.col("context") + add).alias("score"),
-    )
+        base.alias("base_score"),
+        (base + F.col("more")).alias("score"),
+    ), "scored", release=True)
 
 
-def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", depth: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of docs.
 
     Scores are log10 probabilities. Training uses the rows whose crc32 of the id as text, modulo folds, isn't held_out;
     null ids are trained on. Null and empty texts are the end token alone. Repeated rows count as often as they are there
     and get equal scores. With nothing to train on every token is unknown. An empty table gives an empty result. Other
-    columns are not read.
+    columns are not read. depth None: by the number of training tokens.
     """
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     train = own.where(F.coalesce(fold("doc_id", folds) != held_out, F.lit(True)))
     counts = materialise(count_tokens(train), "counts", release=True)
-    return score_texts(own, counts, fit_tree(train, counts, depth), folds, held_out)
+    return score_texts(own, fit_tree(train, counts, depth), folds, held_out)
