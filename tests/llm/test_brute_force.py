@@ -263,3 +263,18 @@ def test_lm_tree_keeps_what_a_large_corpus_holds_rarely(spark):
     got = lm_scoring.lm_scores(spread(spark, rows)).collect()
     assert sorted((r["doc_id"], round(r["score"], 6)) for r in got) == want
     assert lm_scoring.depth_for(10**6) < lm_scoring.depth_for(1 << 30) < lm_scoring.depth_for(1 << 40)
+
+
+def test_mixing_of_a_rare_source(spark):
+    from pyspark.sql import functions as F
+
+    u = spark.range(1, 200).select((F.col("id") / 200).alias("u"))
+    for rate in (690.0, 710.0, 20_000.0):
+        most = int(rate + 12 * math.sqrt(rate) + 40)
+        cdf = np.cumsum([math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(most)])
+        got = [r[0] for r in u.select(mixing.poisson_inverse(F.lit(rate), F.col("u"), most)).collect()]
+        assert got == [int(np.searchsorted(cdf, i / 200)) for i in range(1, 200)]
+    rows = [(i, "text", "en", "large", None) for i in range(100)] + [(1000, "rare", "en", None, None)]
+    got = mixing.mix_sources(frame(spark, rows), total=20_000).collect()
+    rare = [r["copy"] for r in got if r["source"] is None]
+    assert sorted(rare) == list(range(len(rare))) and abs(len(rare) - 10_000) < 600 and abs(len(got) - 20_000) < 1000

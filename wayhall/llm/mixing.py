@@ -2,7 +2,8 @@
 
 A source with target weight w and n of all N documents is repeated w * total / n times on average. A document's count is
 the inverse of the Poisson distribution with that mean at a uniform number hashed from the seed and the document's id, so
-it depends on nothing else: not on the partitioning, the order or the other documents of the source. Documents are
+it depends on nothing else: not on the partitioning, the order or the other documents of the source. Where exp(-rate)
+would vanish the inversion starts below the mean, at a probability from logarithms, so rates have no limit. Documents are
 exploded by their counts and shuffled globally by a hashed key.
 
 Everything is DataFrame operations. Sources are counted with map-side combining. The table of sources joins by an
@@ -19,6 +20,12 @@ from pyspark.sql import functions as F
 from wayhall.llm.scratch import materialise
 
 BITS = 52
+#: Rates up to this one are inverted from 0; exp(-rate) is still an ordinary double.
+FROM_ZERO = 700
+#: How many standard deviations from the mean a Poisson distribution ends in double precision.
+SIGMAS = 12
+#: The longest list that is exploded at once.
+PIECE = 4096
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -27,11 +34,16 @@ def uniform(seed: int, *parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(key), 1, BITS // 4), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << BITS))
 
 
-def poisson_inverse(rate: Column, u: Column, most: int) -> Column:
+def poisson_inverse(rate: Column, u: Column, most: int | Column) -> Column:
     """The smallest k with P(X <= k) >= u for X of mean rate; most is where the distribution ends in double precision."""
-    first = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("sum"), F.lit(0).alias("k"))
+    low = F.floor(rate - SIGMAS * F.sqrt(rate)).cast("double")
+    # Stirling's series for log(low!), which is past 380! here.
+    factorial = low * F.log(low) - low + F.log(2 * F.lit(math.pi) * low) / 2 + 1 / (12 * low) - 1 / (360 * low * low * low)
+    least = F.when(rate <= FROM_ZERO, F.lit(0)).otherwise(low.cast("int"))
+    p = F.when(rate <= FROM_ZERO, F.exp(-rate)).otherwise(F.exp(low * F.log(rate) - rate - factorial))
+    first = F.struct(p.alias("p"), p.alias("sum"), least.alias("k"))
     step = lambda s, i: F.when(s["sum"] >= u, s).otherwise(F.struct((s["p"] * rate / i).alias("p"), (s["sum"] + s["p"] * rate / i).alias("sum"), i.cast("int").alias("k")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), first, step, lambda s: s["k"])
+    return F.aggregate(F.sequence(least + 1, F.lit(most) if isinstance(most, int) else most), first, step, lambda s: s["k"])
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, source_col: str = "source", default_weight: float = 0.0) -> DataFrame:
@@ -55,14 +67,12 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total
 def _mixed(docs: DataFrame, weights: dict[str, float] | None, total: int | None, seed: int, id_col: str, source_col: str, default_weight: float) -> DataFrame:
     """row (all columns of docs), copy, rate, shuffle_key, in the order of shuffle_key."""
     rates = materialise(source_rates(docs, weights, total, source_col, default_weight), "rates")
-    top = rates.agg(F.max("rate")).first()[0] or 0.0
-    if top > 700:
-        raise ValueError(f"a repetition rate of {top:.0f} is past what exp() holds; split the source")
-    most = int(top + 12 * math.sqrt(top) + 40)
+    most = F.floor(F.col("rate") + SIGMAS * F.sqrt("rate") + 40).cast("int")
     source = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("~"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), source.alias("src"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("~")).alias("id"))
     counted = rows.join(rates.select("src", "rate"), "src").withColumn("k", poisson_inverse(F.col("rate"), uniform(seed, F.col("id")), most)).where("k > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    pieces = counted.withColumn("from", F.explode(F.sequence(F.lit(0), F.col("k") - 1, F.lit(PIECE))))
+    copies = pieces.withColumn("copy", F.explode(F.sequence("from", F.least(F.col("from") + PIECE, "k") - 1)))
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}k"), "id", F.col("copy").cast("string")))
     return copies.select("row", "copy", "rate", key.alias("shuffle_key")).orderBy("shuffle_key")
 
