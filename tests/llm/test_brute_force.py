@@ -278,3 +278,21 @@ def test_mixing_of_a_rare_source(spark):
     got = mixing.mix_sources(frame(spark, rows), total=20_000).collect()
     rare = [r["copy"] for r in got if r["source"] is None]
     assert sorted(rare) == list(range(len(rare))) and abs(len(rare) - 10_000) < 600 and abs(len(got) - 20_000) < 1000
+
+
+def test_jaccard_links(spark):
+    # 40 near copies of one text: every pair of them links, which no leader or component may hide.
+    words = [f"w{i}" for i in range(200)]
+    rows = corpus() + [(100 + i, " ".join(words[:i] + [f"x{i}"] + words[i + 1 :]), None, None, None) for i in range(40)]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []) for w in (white_words(r[1]) for r in rows)]
+    have = Counter(x for x in sets if x)
+    distinct = list(have)
+    want = Counter()
+    for i, x in enumerate(distinct):
+        for y in distinct[:i]:
+            if 100 * len(x & y) >= 80 * len(x | y):
+                want[(*sorted([(len(x), have[x]), (len(y), have[y])]), len(x & y))] += 1
+    got = jaccard_join.jaccard_links(spread(spark, rows)).collect()
+    assert Counter((*sorted([(r["n_a"], r["rows_a"]), (r["n_b"], r["rows_b"])]), r["overlap"]) for r in got) == want
+    assert sum(r["doc_a"] is not None and r["doc_b"] is not None and min(r["doc_a"], r["doc_b"]) >= 100 for r in got) == 40 * 39 // 2
+    assert len({(r["set_a"], r["set_b"]) for r in got}) == len(got)

@@ -11,8 +11,8 @@ overlaps in each fragment, which are counted separately.
 3. Shingles with few nodes give all their pairs. Those with many would give a number that grows with the square, so there
    each node is paired with LEADERS leaders first. Links make components. Shingles whose nodes are all in one component
    need nothing more. Where there are others, their nodes are paired with RETRIES of the largest component, and for what is
-   still apart then every pair of nodes from different components is looked at. So links inside a
-   component may stay uncounted, but no component is missed.
+   still apart then every pair of nodes from different components is looked at. So jaccard_components() may leave links
+   inside a component uncounted, but misses no component; jaccard_links() looks at all pairs and gives every link.
 4. Candidate pairs are verified by vertical partitioning: partial overlaps by fragment, summed by pair.
 
 The shingle order depends on a broadcast list of at most HEAVY shingles; which ones are in it changes the speed, never
@@ -308,10 +308,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return docs.join(drop, F.col(f"`{id_col}`").eqNullSafe(F.col("__drop")), "left_anti")
 
 
-def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, few: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    spark = docs.sparkSession
-    docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    heavy = spark.sparkContext.broadcast(heavy_shingles(docs, words))
+def _prepared(docs: DataFrame, heavy: Broadcast, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows; nodes, one for each set; and shared, the postings of the prefixes' shingles that several nodes have."""
     whole = materialise(_rows(docs, heavy, words, percent), "sets", release=True)
     rows = materialise(whole.select("row_id", "doc_id", "n", "digest", "lead"), "rows")
     by_set = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.when(F.col("lead"), F.struct("row_id", "doc_id"))).alias("rep"))
@@ -328,10 +326,40 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     shared = counted.join(lead_node, "row_id").groupBy("h", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.max("c").alias("c"))
     shared = materialise(shared, "postings", release=True)
     discard(counted)
+    return rows, nodes, shared
+
+
+def _all_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    return _pairs(postings.alias("a").join(postings.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.node") < F.col("b.node")) & _may_link(percent)))
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
+    """set_a, set_b, doc_a, doc_b, n_a, n_b, rows_a, rows_b, overlap: every link between different sets, each once.
+
+    Every candidate pair is verified, inside components too, so the result, and the work under a shingle that many sets
+    share, grow with the square of a group of near copies. A set is named by a number (set_a < set_b) and by the id of
+    one of its rows (doc_); n_ are its shingles and rows_ the rows of docs that have it, which link with each other as
+    well. So rows_a * rows_b over all links, and rows * (rows - 1) / 2 over all sets, is the number of links of rows.
+    """
+    docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, words))
+    rows, nodes, shared = _prepared(docs, heavy, words, percent)
+    pairs = materialise(_all_pairs(shared, percent), "pairs", release=True)
+    links = _verified(_near(pairs, nodes, percent), docs, heavy, words, percent)
+    sizes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.count(F.lit(1)).alias("rows"))
+    sets = materialise(nodes.select("node", "n", "digest", "rep_doc").join(sizes, "digest"), "named", release=True)
+    side = lambda node, x: sets.select(F.col("node").alias(node), F.col("rep_doc").alias(f"doc_{x}"), F.col("n").alias(f"n_{x}"), F.col("rows").alias(f"rows_{x}"))
+    out = links.join(side("u", "a"), "u").join(side("v", "b"), "v")
+    return out.select(F.col("u").alias("set_a"), F.col("v").alias("set_b"), "doc_a", "doc_b", "n_a", "n_b", "rows_a", "rows_b", "overlap")
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, few: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, words))
+    rows, nodes, shared = _prepared(docs, heavy, words, percent)
     few_ones = shared.where(F.col("c") <= few)
-    small = few_ones.alias("a").join(few_ones.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.node") < F.col("b.node")) & _may_link(percent))
     many = materialise(shared.where(F.col("c") > few), "many")
-    pairs = materialise(_pairs(small).unionByName(_starred(many, percent)).distinct(), "pairs", release=True)
+    pairs = materialise(_all_pairs(few_ones, percent).unionByName(_starred(many, percent)).distinct(), "pairs", release=True)
     discard(shared)
     links, roots = _joined(pairs, nodes, docs, heavy, words, percent, None)
     for tried in (_retried, _across):
