@@ -296,3 +296,12 @@ def test_jaccard_links(spark):
     assert Counter((*sorted([(r["n_a"], r["rows_a"]), (r["n_b"], r["rows_b"])]), r["overlap"]) for r in got) == want
     assert sum(r["doc_a"] is not None and r["doc_b"] is not None and min(r["doc_a"], r["doc_b"]) >= 100 for r in got) == 40 * 39 // 2
     assert len({(r["set_a"], r["set_b"]) for r in got}) == len(got)
+
+
+def test_keep_one_of_each_by_row(spark):
+    text = lambda k: " ".join(f"{k}{j}" for j in range(60))
+    near = lambda k: text(k) + " more"
+    texts = [(1, text("a")), (None, near("a")), (None, text("b")), (None, text("c")), (None, near("c")), (7, text("d")), (7, near("a")), (8, text("e")), (8, near("e")), (None, None), (9, ""), (9, "")]
+    got = jaccard_join.keep_one_of_each(spread(spark, [(i, t, None, None, None) for i, t in texts])).collect()
+    kept = Counter((r["doc_id"], (r["text"] or "").split(" ")[0]) for r in got)
+    assert kept == Counter([(1, "a0"), (None, "b0"), (None, "c0"), (7, "d0"), (8, "e0"), (None, ""), (9, ""), (9, "")])

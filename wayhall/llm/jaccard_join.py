@@ -141,7 +141,8 @@ def _rows(docs: DataFrame, heavy: Broadcast, k: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["row_id", "doc_id", "n", "digest", "lead", "prefix", "bitmap"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
+    numbers = F.col("row_id") if "row_id" in docs.columns else F.monotonically_increasing_id().alias("row_id")
+    rows = docs.select(numbers, "doc_id", "text")
     return rows.mapInArrow(run, f"row_id long, doc_id {kind}, n long, digest binary, lead boolean, prefix array<long>, bitmap array<long>")
 
 
@@ -298,14 +299,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
-    """The rows of docs, with all their columns, less those that have a document with a smaller id in their component.
+    """One row of docs, with all its columns, for each component: of the smallest id, null after all others.
 
-    Of rows with the smallest id itself all stay; rows without shingles stay.
+    Of rows with that id in the component one stays. Rows without shingles stay. Rows are told apart by numbers, so a
+    repeated or null id costs no row of another component.
     """
-    found = materialise(jaccard_components(docs, id_col, text_col, words, percent), "found")
-    drop = found.where("component_id < doc_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("__drop")).distinct()
-    drop = materialise(drop, "drop", release=True)
-    return docs.join(drop, F.col(f"`{id_col}`").eqNullSafe(F.col("__drop")), "left_anti")
+    numbered = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered", release=True)
+    rows, roots, nodes = _linked(numbered, id_col, text_col, words, percent, FEW, "__row")
+    named = rows.join(nodes.select("digest", "node"), "digest").join(roots, "node", "left")
+    named = materialise(named.select("row_id", "doc_id", F.coalesce("root", "node").alias("root")), "named", release=True)
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id"))["row_id"].alias("first"))
+    drop = materialise(named.join(first, "root").where("row_id <> first").select(F.col("row_id").alias("__row")), "drop", release=True)
+    return numbered.join(drop, "__row", "left_anti").drop("__row")
 
 
 def _prepared(docs: DataFrame, heavy: Broadcast, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -353,8 +358,9 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("u").alias("set_a"), F.col("v").alias("set_b"), "doc_a", "doc_b", "n_a", "n_b", "rows_a", "rows_b", "overlap")
 
 
-def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, few: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, few: int, row_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    numbers = [F.col(row_col).alias("row_id")] if row_col else []
+    docs = docs.select(*numbers, F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, words))
     rows, nodes, shared = _prepared(docs, heavy, words, percent)
     few_ones = shared.where(F.col("c") <= few)
@@ -369,4 +375,4 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
         pairs = materialise(tried(open_, percent), "pairs", release=True)
         if not pairs.isEmpty():
             links, roots = _joined(pairs, nodes, docs, heavy, words, percent, links)
-    return rows.select("doc_id", "n", "digest"), roots, nodes
+    return rows.select("row_id", "doc_id", "n", "digest"), roots, nodes
