@@ -72,9 +72,8 @@ def test_jaccard(spark):
     for i, r in enumerate(rows):
         low[find(i)].append(r[0])
     want = Counter((r[0], len(sets[i]), min((x for x in low[find(i)] if x is not None), default=None)) for i, r in enumerate(rows))
-    for few in (16, 1):
-        got = jaccard_join.jaccard_components(spread(spark), few=few).collect()
-        assert Counter(map(tuple, got)) == want
+    got = jaccard_join.jaccard_components(spread(spark)).collect()
+    assert Counter(map(tuple, got)) == want
 
 
 def test_substrings(spark):

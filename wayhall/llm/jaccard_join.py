@@ -6,13 +6,15 @@ overlaps in each fragment, which are counted separately.
 
 1. Equal sets are one node.
 2. Two sets that link share a shingle among the first |x| - ceil(t|x|) + 1 of each, in the global order. Those prefixes
-   are dealt by shingle. Pairs must also pass bounds on the overlap from their sizes, from where the shared shingle
-   stands and from parity bitmaps; all these bounds are exact, none loses a link.
-3. Shingles with few nodes give all their pairs. Those with many would give a number that grows with the square, so there
-   each node is paired with LEADERS leaders first. Links make components. Shingles whose nodes are all in one component
-   need nothing more. Where there are others, their nodes are paired with RETRIES of the largest component, and for what is
-   still apart then every pair of nodes from different components is looked at. So jaccard_components() may leave links
-   inside a component uncounted, but misses no component; jaccard_links() looks at all pairs and gives every link.
+   are dealt by shingle: rare ones (light) by a shuffle, frequent ones (heavy, a bounded list) by partial aggregation, so
+   a hot shingle is never gathered in one task. At the first shingle that two linked sets share, what is left of either
+   set from there on is at least as large as the overlap they need (_may_link). Parity bitmaps give one more bound. All
+   bounds are exact, none loses a link.
+3. Every set is paired with one leader of each of its shingles: the set in which the shingle stands first, which among
+   near copies is the one of the fewest edits. So the first pairs are no more than the postings, whatever a group's size.
+   Links make components. Then, under shingles whose sets still lie in different components than their leader, those are
+   paired with the others that lie in another one. So jaccard_components() may leave links inside a component uncounted,
+   but misses no component; jaccard_links() looks at all pairs and gives every link.
 4. Candidate pairs are verified by vertical partitioning: partial overlaps by fragment, summed by pair.
 
 The shingle order depends on a broadcast list of at most HEAVY shingles; which ones are in it changes the speed, never
@@ -36,11 +38,13 @@ from wayhall.llm.textkit import U, Hasher, chunks, grams, mix, not_white, signed
 
 WORDS, SIMILARITY = 5, 80
 HEAVY, HEAVY_FROM = 1 << 18, 16
-FEW = 16
 FRAGMENTS = 4
 LEAST_BITS = 512
-LEADERS, RETRIES = 3, 12
+#: Rows up to which a table of keys is broadcast, once it is counted; larger ones are shuffled.
+BROADCAST_ROWS = 1 << 20
 SEED = 41
+#: Shingles that are counted at once in heavy_shingles().
+COUNTED = 1 << 21
 
 
 def shingles(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -70,7 +74,7 @@ def heavy_shingles(docs: DataFrame, k: int) -> np.ndarray:
                     seen.add(d)
                     held.append(s)
                     size += len(s)
-                if held and (s is None or size > 1 << 22):
+                if held and (s is None or size > COUNTED):
                     h, n = np.unique(np.concatenate(held), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(signed(h[n >= 4])), pa.array(n[n >= 4])], ["h", "n"])
                     held, size = [], 0
@@ -116,12 +120,12 @@ def parity_bitmap(s: np.ndarray) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, heavy: Broadcast, k: int, percent: int) -> DataFrame:
-    """row_id, doc_id, n, digest; on the first row of a set in each task (lead) also prefix and bitmap."""
+    """row_id, doc_id, n, digest; on the first row of a set in each task (lead) also prefix, how many of it are light, and bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = Order(heavy.value), set()
         for batch in batches:
-            n, key, lead, prefix, bitmap = [], [], [], [], []
+            n, key, lead, prefix, light, bitmap = [], [], [], [], [], []
             for s in shingles(batch.column(2), k):
                 d = digest(s) if len(s) else None
                 first = d is not None and d not in seen
@@ -130,20 +134,23 @@ def _rows(docs: DataFrame, heavy: Broadcast, k: int, percent: int) -> DataFrame:
                 lead.append(first)
                 if first:
                     seen.add(d)
-                    prefix.append(signed(order.arranged(s)[0][: prefix_length(len(s), percent)]))
+                    ordered, many = order.arranged(s)
+                    prefix.append(signed(ordered[: prefix_length(len(s), percent)]))
+                    light.append(many)
                     bitmap.append(parity_bitmap(s))
                 else:
                     prefix.append(None)
+                    light.append(None)
                     bitmap.append(None)
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
-            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(lead, pa.bool_()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bitmap, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["row_id", "doc_id", "n", "digest", "lead", "prefix", "bitmap"])
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(lead, pa.bool_()), pa.array(prefix, pa.list_(pa.int64())), pa.array(light, pa.int64()), pa.array(bitmap, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["row_id", "doc_id", "n", "digest", "lead", "prefix", "light", "bitmap"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     numbers = F.col("row_id") if "row_id" in docs.columns else F.monotonically_increasing_id().alias("row_id")
     rows = docs.select(numbers, "doc_id", "text")
-    return rows.mapInArrow(run, f"row_id long, doc_id {kind}, n long, digest binary, lead boolean, prefix array<long>, bitmap array<long>")
+    return rows.mapInArrow(run, f"row_id long, doc_id {kind}, n long, digest binary, lead boolean, prefix array<long>, light long, bitmap array<long>")
 
 
 def _sets(docs: DataFrame, heavy: Broadcast, k: int) -> DataFrame:
@@ -170,15 +177,18 @@ def _sets(docs: DataFrame, heavy: Broadcast, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "digest binary, fragment int, part array<long>")
 
 
-def _may_link(percent: int, a: str = "a", b: str = "b") -> Column:
-    """Bounds from the sizes and from the places of a shared shingle."""
-    na, nb, pa_, pb = (F.col(f"{x}.{c}") for c in ("n", "pos") for x in (a, b))
-    most = 1 + F.least(pa_, pb) + F.least(na - pa_ - 1, nb - pb - 1)
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * most >= percent * (na + nb))
+def _may_link(percent: int, a: tuple[str, str] = ("a.n", "a.pos"), b: tuple[str, str] = ("b.n", "b.pos")) -> Column:
+    """Whether two sets, given their sizes and where the first shingle they share stands, can have the overlap they need.
+
+    Linked sets pass it at their first common shingle; at later ones they needn't.
+    """
+    need = F.lit(percent) * (F.col(a[0]) + F.col(b[0]))
+    left = lambda x: F.lit(100 + percent) * (F.col(x[0]) - F.col(x[1]))
+    return (left(a) >= need) & (left(b) >= need)
 
 
-def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).where("u <> v").distinct()
+def _pairs(u: str, v: str, found: DataFrame) -> DataFrame:
+    return found.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct()
 
 
 def _apart(x: Column, y: Column) -> Column:
@@ -198,13 +208,13 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bitmap").alias(f"m{c}"), F.col("digest").alias(f"d{c}"), F.col("rep_doc").alias(f"doc_{c}")) for c in "uv")
     both = F.col("nu") + F.col("nv")
     found = pairs.join(x, "u").join(y, "v").where((100 + percent) * (both - _apart(F.col("mu"), F.col("mv"))) >= 2 * percent * both)
-    return materialise(found.drop("mu", "mv"), "near", release=True)
+    return materialise(found.drop("mu", "mv"), "near")
 
 
 def _verified(near: DataFrame, docs: DataFrame, heavy: Broadcast, k: int, percent: int) -> DataFrame:
     """The pairs (u, v) of _near() whose sets link: partial overlaps by fragment, summed."""
-    wanted = materialise(near.select(F.explode(F.array("doc_u", "doc_v")).alias("wanted")).distinct(), "wanted", release=True)
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    wanted = materialise(near.select(F.explode(F.array("doc_u", "doc_v")).alias("wanted")).distinct(), "wanted")
+    texts = docs.join(_small(wanted), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     # Rows repeated with one id give one set more than once.
     sets = materialise(_sets(texts, heavy, k).repartition("digest").dropDuplicates(["digest", "fragment"]), "fragments", release=True)
     left = near.select("u", "v", "nu", "nv", "du", "dv").join(sets.select(F.col("digest").alias("du"), "fragment", F.col("part").alias("pu")), "du").drop("du")
@@ -218,70 +228,24 @@ def _verified(near: DataFrame, docs: DataFrame, heavy: Broadcast, k: int, percen
     return links
 
 
-def _joined(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, heavy: Broadcast, k: int, percent: int, links: DataFrame | None) -> tuple[DataFrame | None, DataFrame]:
-    """links with those among pairs, and the roots they give.
-
-    Each node's pair with its smallest partner is verified first; of the others only those that still lie in different
-    components are.
-    """
-    near = _near(pairs, nodes, percent)
-    first = near.groupBy("v").agg(F.min("u").alias("u"))
-    first = materialise(near.join(first, ["u", "v"], "left_semi"), "first")
-    links = _plus(links, _verified(first, docs, heavy, k, percent))
-    roots = materialise(components(links), "roots")
-    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    rest = near.join(first, ["u", "v"], "left_anti").join(root("u"), "u", "left").join(root("v"), "v", "left")
-    rest = rest.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).drop("root_u", "root_v")
-    rest = materialise(rest, "rest", release=True)
-    if not rest.isEmpty():
-        links = _plus(links, _verified(rest, docs, heavy, k, percent))
-        roots = materialise(components(links), "roots")
-    for done in (near, first, rest):
-        discard(done)
-    return links, roots
-
-
-def _plus(links: DataFrame | None, more: DataFrame) -> DataFrame:
-    return more if links is None else links.unionByName(more)
-
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has few rows; otherwise Spark joins by shuffle."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
-def _rooted(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The postings of shared whose shingle still has nodes of different components, with their root."""
-    known = shared.withColumn("root", F.col("node")) if roots is None else shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = known.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
-    return materialise(known.join(open_, "h", "left_semi"), "open")
 
+def _across(shared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets in different components under a shingle whose leader is in another one than at least one of them."""
+    small = _small(roots)
+    root = lambda node, name: small.select(F.col("node").alias(node), F.col("root").alias(name))
+    told = shared.join(root("node", "found"), "node", "left").join(root("leader", "first"), "leader", "left")
+    told = told.withColumns({"root": F.coalesce("found", "node"), "top": F.coalesce("first", "leader")}).drop("found", "first")
+    told = materialise(told.where("c > 2 AND node <> leader").select("h", "node", "n", "pos", "root", (F.col("root") != F.col("top")).alias("other")), "told", release=True)
+    match = (F.col("a.h") == F.col("b.h")) & (F.col("a.root") != F.col("b.root")) & (~F.col("b.other") | (F.col("a.node") < F.col("b.node")))
+    found = told.where("other").alias("a").join(told.alias("b"), match & _may_link(percent))
+    return _pairs("a.node", "b.node", found)
 
-def _starred(open_: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each node with each of its shingle's LEADERS leaders."""
-    pick = [F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("o"), "node", "n", "pos")) for turn in range(LEADERS)]
-    leaders = open_.groupBy("h").agg(F.array(*pick).alias("l")).select("h", F.explode("l").alias("l")).select("h", "l.*")
-    return _pairs(open_.alias("a").join(leaders.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.node") != F.col("b.node")) & _may_link(percent)))
 
-
-def _retried(open_: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the nodes outside their shingle's largest component with RETRIES nodes of that one."""
-    told = _told(open_)
-    pick = [F.min(F.struct(F.xxhash64(F.lit(LEADERS + turn), "node").alias("o"), "node", "n", "pos")) for turn in range(RETRIES)]
-    leaders = told.where("root = main").groupBy("h").agg(F.array_distinct(F.array(*pick)).alias("l")).select("h", F.explode("l").alias("l")).select("h", "l.*")
-    return _pairs(told.where("root <> main").alias("a").join(leaders.alias("b"), (F.col("a.h") == F.col("b.h")) & _may_link(percent)))
-
-
-def _told(open_: DataFrame) -> DataFrame:
-    """open_ with main: the root of each shingle's largest component."""
-    sizes = open_.groupBy("h", "root").count()
-    return open_.join(sizes.groupBy("h").agg(F.max(F.struct("count", "root"))["root"].alias("main")), "h")
-
-
-def _across(open_: DataFrame, percent: int) -> DataFrame:
-    """All pairs of nodes of a shingle from different components; its largest component is only met by the others."""
-    told = materialise(_told(open_), "told")
-    others = told.where("root <> main").alias("a")
-    apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
-    return _pairs(others.join(told.alias("b"), apart & _may_link(percent)))
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = SIMILARITY, few: int = FEW) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of docs.
 
     Two documents link when 100 * intersection >= percent * union of their sets of distinct shingles of ``words`` words
@@ -291,9 +255,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smallest; its component_id is null if nothing else is reachable. An empty table gives an empty result. Other
     columns are not read.
     """
-    rows, roots, nodes = _linked(docs, id_col, text_col, words, percent, few)
+    rows, roots, nodes = _linked(docs, id_col, text_col, words, percent)
     named = rows.join(nodes.select("digest", "node"), "digest", "left").join(roots, "node", "left")
-    named = materialise(named.select("doc_id", "n", F.coalesce("root", "node").alias("root")), "named", release=True)
+    named = materialise(named.select("doc_id", "n", F.coalesce("root", "node").alias("root")), "named")
     label = materialise(named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id")), "labels")
     return named.join(label, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -305,37 +269,41 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeated or null id costs no row of another component.
     """
     numbered = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered", release=True)
-    rows, roots, nodes = _linked(numbered, id_col, text_col, words, percent, FEW, "__row")
+    rows, roots, nodes = _linked(numbered, id_col, text_col, words, percent, "__row")
     named = rows.join(nodes.select("digest", "node"), "digest").join(roots, "node", "left")
-    named = materialise(named.select("row_id", "doc_id", F.coalesce("root", "node").alias("root")), "named", release=True)
+    named = materialise(named.select("row_id", "doc_id", F.coalesce("root", "node").alias("root")), "named")
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id"))["row_id"].alias("first"))
-    drop = materialise(named.join(first, "root").where("row_id <> first").select(F.col("row_id").alias("__row")), "drop", release=True)
-    return numbered.join(drop, "__row", "left_anti").drop("__row")
+    drop = materialise(named.join(first, "root").where("row_id <> first").select(F.col("row_id").alias("__row")), "drop")
+    return numbered.join(_small(drop), "__row", "left_anti").drop("__row")
 
 
-def _prepared(docs: DataFrame, heavy: Broadcast, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """rows; nodes, one for each set; and shared, the postings of the prefixes' shingles that several nodes have."""
+def _prepared(docs: DataFrame, heavy: Broadcast, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """rows; named, the number (node) of each set by digest; nodes, one row for each; and shared, the postings of the prefixes' shingles that several nodes have."""
     whole = materialise(_rows(docs, heavy, words, percent), "sets", release=True)
-    rows = materialise(whole.select("row_id", "doc_id", "n", "digest", "lead"), "rows")
-    by_set = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.when(F.col("lead"), F.struct("row_id", "doc_id"))).alias("rep"))
-    by_set = materialise(by_set.select("digest", F.col("rep.row_id").alias("node"), F.col("rep.doc_id").alias("rep_doc")), "by_set")
     leads = whole.where("lead")
-    nodes = leads.drop("prefix", "doc_id").join(by_set, "digest").where("row_id = node").select("node", "n", "bitmap", "digest", "rep_doc")
-    nodes = materialise(nodes, "nodes", release=True)
-    postings = leads.select("row_id", "n", F.posexplode("prefix").alias("pos", "h"))
-    counted = postings.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("c > 1")
-    counted = materialise(counted, "shared", release=True)
-    discard(whole)
-    # A set that several tasks met has a lead in each: they are one node.
-    lead_node = rows.where("lead").select("row_id", "digest").join(by_set, "digest").select("row_id", "node")
-    shared = counted.join(lead_node, "row_id").groupBy("h", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.max("c").alias("c"))
-    shared = materialise(shared, "postings", release=True)
-    discard(counted)
-    return rows, nodes, shared
+    named = leads.groupBy("digest").agg(F.min("row_id").alias("node"), F.min_by("doc_id", "row_id").alias("rep_doc"))
+    named = materialise(named, "named")
+    # A set that several tasks met has a lead in each; one of them stays.
+    spare = leads.select("row_id", "digest").join(named, "digest").where("row_id <> node").select("row_id")
+    nodes = leads.join(_small(materialise(spare, "spare")), "row_id", "left_anti")
+    postings = nodes.select(F.col("row_id").alias("node"), "n", "light", F.posexplode("prefix").alias("pos", "h"))
+    head = F.struct("pos", "node", "n")
+    by_size, alike = Window.partitionBy("h").orderBy("n"), Window.partitionBy("h")
+    beside = (F.lead("n").over(by_size) * percent <= 100 * F.col("n")) | (F.lag("n").over(by_size) * 100 >= percent * F.col("n"))
+    light = postings.where("pos < light").drop("light").withColumn("beside", beside).where("beside").drop("beside")
+    light = light.withColumns({"c": F.count(F.lit(1)).over(alike), "l": F.min(head).over(alike)})
+    late = postings.where("pos >= light").drop("light")
+    tops = late.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(head).alias("l")).where("c > 1")
+    frequent = late.join(_small(materialise(tops, "tops")), "h").select("node", "n", "pos", "h", "c", "l")
+    shared = light.unionByName(frequent).select("h", "node", "n", "pos", "c", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.pos").alias("leader_pos"))
+    shared = materialise(shared, "shared", release=True)
+    kept = nodes.select(F.col("row_id").alias("node"), "n", "bitmap", "digest", F.col("doc_id").alias("rep_doc"))
+    return whole.select("row_id", "doc_id", "n", "digest"), named, kept, shared
 
 
 def _all_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    return _pairs(postings.alias("a").join(postings.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.node") < F.col("b.node")) & _may_link(percent)))
+    both = (F.col("a.h") == F.col("b.h")) & (F.col("a.node") < F.col("b.node"))
+    return _pairs("a.node", "b.node", postings.alias("a").join(postings.alias("b"), both & _may_link(percent)))
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
@@ -348,7 +316,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, words))
-    rows, nodes, shared = _prepared(docs, heavy, words, percent)
+    rows, _, nodes, shared = _prepared(docs, heavy, words, percent)
     pairs = materialise(_all_pairs(shared, percent), "pairs", release=True)
     links = _verified(_near(pairs, nodes, percent), docs, heavy, words, percent)
     sizes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.count(F.lit(1)).alias("rows"))
@@ -358,21 +326,23 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("u").alias("set_a"), F.col("v").alias("set_b"), "doc_a", "doc_b", "n_a", "n_b", "rows_a", "rows_b", "overlap")
 
 
-def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, few: int, row_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, row_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows; the root of each linked node; named: digest, node, rep_doc."""
     numbers = [F.col(row_col).alias("row_id")] if row_col else []
     docs = docs.select(*numbers, F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, words))
-    rows, nodes, shared = _prepared(docs, heavy, words, percent)
-    few_ones = shared.where(F.col("c") <= few)
-    many = materialise(shared.where(F.col("c") > few), "many")
-    pairs = materialise(_all_pairs(few_ones, percent).unionByName(_starred(many, percent)).distinct(), "pairs", release=True)
+    rows, named, nodes, shared = _prepared(docs, heavy, words, percent)
+    met = shared.where((F.col("node") != F.col("leader")) & _may_link(percent, ("n", "pos"), ("leader_n", "leader_pos")))
+    pairs = materialise(_pairs("node", "leader", met), "pairs", release=True)
+    near = _near(pairs, nodes, percent)
+    links = _verified(near, docs, heavy, words, percent)
+    roots = materialise(components(links), "roots")
+    # Pairs with a leader have been tried.
+    more = materialise(_across(shared, roots, percent), "across", release=True)
     discard(shared)
-    links, roots = _joined(pairs, nodes, docs, heavy, words, percent, None)
-    for tried in (_retried, _across):
-        open_ = _rooted(many, roots)
-        if open_.isEmpty():
-            break
-        pairs = materialise(tried(open_, percent), "pairs", release=True)
-        if not pairs.isEmpty():
-            links, roots = _joined(pairs, nodes, docs, heavy, words, percent, links)
-    return rows.select("row_id", "doc_id", "n", "digest"), roots, nodes
+    near = _near(more.join(pairs, ["u", "v"], "left_anti"), nodes, percent)
+    if not near.isEmpty():
+        more = _verified(near, docs, heavy, words, percent)
+        if not more.isEmpty():
+            roots = materialise(components(links.unionByName(more)), "roots")
+    return rows, roots, named
