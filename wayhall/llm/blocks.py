@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def id_cuts(docs: DataFrame, id_col: str, blocks: int) -> list:
-    """At most blocks - 1 bounds, approximate quantiles of the ids."""
+def id_cuts(docs: DataFrame, id_col: str, blocks: int, weight: Column | None = None) -> list:
+    """At most blocks - 1 bounds, approximate quantiles of the ids; weight: how many times (a whole number) each row counts."""
     share = [i / blocks for i in range(1, blocks)]
+    docs = docs.select(id_col) if weight is None else docs.select(F.explode(F.array_repeat(F.col(id_col), weight)).alias(id_col))
     found = docs.agg(F.percentile_approx(id_col, share, 10 * blocks)).first()[0] if share else None
     return sorted(set(found or []))
 

@@ -20,6 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lower the session's limit of rows in an Arrow batch, so that a Python worker holds few texts at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def _path(spark: SparkSession, path: str):  # noqa: ANN202
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

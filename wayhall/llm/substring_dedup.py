@@ -1,10 +1,12 @@
 """Substring dedup with a count-min prefilter (operator 6).
 
-A window is 13 consecutive words. Documents are dealt into blocks of neighbouring ids, and three passes go over them:
+A window is 13 consecutive words. Documents are dealt into blocks of neighbouring ids, of about BLOCK_BYTES of text each,
+and three passes go over them:
 
 1. Each block sends a count-min sketch of its windows: for each of DEPTH hash rows the cells that it hits, once or more
    often. A sketch is sparse and cut into stripes; stripes of all blocks are merged, and each block learns which of its
-   cells were hit at least twice. The sketch is as wide as the corpus needs, and no task holds more than a stripe.
+   cells were hit at least twice. The sketch is as wide as the corpus needs, cut so that a stripe has about STRIPE windows,
+   and no task holds more than a stripe.
 2. A window all of whose cells were hit twice is estimated as repeated. None that is repeated is missed, as merged counts
    never fall short. Only these windows' exact 128-bit keys are sent, each once for a block, and grouped. As blocks are
    ranges of ids, a block only needs to know whether a lower block has the key; inside a block the smallest id is known.
@@ -25,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayhall.llm.blocks import block_of, id_cuts
-from wayhall.llm.scratch import discard, materialise
+from wayhall.llm.scratch import discard, materialise, modest_batches
 from wayhall.llm.textkit import U, Hasher, chunks, gram_mask, grams, mix, not_white
 
 WINDOW = 13
 DEPTH = 2
 ROOM = 8
 SEEDS = (51, 52)
+BLOCK_BYTES, STRIPE = 5 << 19, 1 << 21
 MASKS = "block int, row int, stripe int, mask binary"
 
 
@@ -45,15 +48,17 @@ def _ordered(table: pa.Table) -> tuple[np.ndarray, pa.Array]:
     return rank, table.column(1)
 
 
-def _windows(texts: pa.Array, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window in order, and the document it starts in."""
-    hasher, table = Hasher(False, seed), not_white()
-    hashes, owners = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+def _windows(texts: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each window in order, and the document it starts in."""
+    hasher, table = Hasher(False, SEEDS[0]), not_white()
+    first, second, owners = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)]
     for c in chunks(texts, table):
         ok = gram_mask(c.counts, window)
-        hashes.append(grams(hasher.spans(c.data, c.starts, c.ends), window, seed)[ok])
+        words = hasher.spans(c.data, c.starts, c.ends)
+        first.append(grams(words, window, SEEDS[0])[ok])
+        second.append(grams(words, window, SEEDS[1])[ok])
         owners.append(c.owner[: len(ok)][ok] + c.first)
-    return np.concatenate(hashes), np.concatenate(owners)
+    return np.concatenate(first), np.concatenate(second), np.concatenate(owners)
 
 
 def _cells(hashes: np.ndarray, row: int, stripes: int, bits: int) -> np.ndarray:
@@ -95,7 +100,7 @@ def _sketch(placed: DataFrame, window: int, stripes: int, bits: int) -> DataFram
     """First pass: MASKS rows, a bit for each cell of a block's sketch."""
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
-        hashes, _ = _windows(_ordered(table)[1], window, SEEDS[0])
+        hashes = _windows(_ordered(table)[1], window)[0]
         out = []
         for row in range(DEPTH):
             cells, counts = np.unique(_cells(hashes, row, stripes, bits), return_counts=True)
@@ -143,10 +148,9 @@ def _exact(placed: DataFrame, masks: DataFrame, window: int, stripes: int, bits:
 
     def send(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         rank, texts = _ordered(table)
-        hashes, owner = _windows(texts, window, SEEDS[0])
+        hashes, second, owner = _windows(texts, window)
         at = np.flatnonzero(_estimated(hashes, _masks(replies), stripes, bits))
-        second = _windows(texts, window, SEEDS[1])[0][at] if len(at) else hashes[:0]
-        keys = np.stack([hashes[at], second], 1)
+        keys = np.stack([hashes[at], second[at]], 1)
         order = np.lexsort((keys[:, 1], keys[:, 0]))
         new = np.ones(len(at), bool)
         new[1:] = (keys[order][1:] != keys[order][:-1]).any(1)
@@ -228,11 +232,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts have no words. Rows repeated with one id never remove words of each other; null ids count as
     the largest. An empty table gives an empty result. Other columns are not read. Ids are numbers.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    modest_batches(docs.sparkSession)
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    placed = own.withColumn("block", block_of(F.col("doc_id"), id_cuts(own, "doc_id", 2 * parts)))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(32, max(8, math.ceil(math.log2(ROOM * max(1, size / 6) / parts))))
+    cuts = id_cuts(own, "doc_id", max(1, size // BLOCK_BYTES), F.ceil((F.octet_length("text") + 1) / 4096).cast("int"))
+    placed = own.withColumn("block", block_of(F.col("doc_id"), cuts))
+    windows = max(1, size / 6)
+    parts = math.ceil(windows / STRIPE)
+    bits = min(32, max(8, math.ceil(math.log2(ROOM * windows / parts))))
     masks = materialise(_sketch(placed, window, parts, bits), "masks", release=True)
     exact = materialise(_exact(placed, masks, window, parts, bits), "windows", release=True)
     discard(masks)
