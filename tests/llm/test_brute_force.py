@@ -112,12 +112,12 @@ def test_lm_is_a_distribution(spark):
     counts = lm_scoring.count_tokens(docs)
     tree = lm_scoring.fit_tree(docs, counts)
     assert all(len(level["context"]) for level in tree.levels)
-    rng = np.random.default_rng(1)
-    for _ in range(5):
-        before = rng.integers(0, 12, 3)
-        runs = np.stack([[*before, s] for s in range(lm_scoring.SYMBOLS)]).astype(np.int64)
-        p = sum(10 ** tree.log10(r, np.arange(4))[3] for r in runs[:200]) + sum(10 ** tree.log10(runs[s], np.arange(4))[3] for s in range(200, lm_scoring.SYMBOLS, 64)) * 64 * 0
-        assert 0.9 < p <= 1 + 1e-9
+    rng, n = np.random.default_rng(1), counts.count() + 1  # the unknown and all tokens
+    assert n < lm_scoring.SYMBOLS
+    for _ in range(20):
+        before = rng.integers(0, n, 3)
+        p = sum(10 ** tree.log10(np.array([*before, s]), np.arange(4))[3] for s in range(n))
+        assert abs(p - 1) < 1e-9
     got = lm_scoring.lm_scores(docs).where("held_out").collect()
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
@@ -249,13 +249,16 @@ def test_lm_tree_keeps_what_a_large_corpus_holds_rarely(spark):
         if len(context) < d or context not in kept[d - 1]:
             return q
         follow = after[d - 1][context]
-        return (follow[run[-1]] + lm_scoring.PRIOR * q) / (sum(follow.values()) + lm_scoring.PRIOR)
+        often = {w: c for w, c in follow.items() if c >= 4}
+        return (often.get(run[-1], 0) + (lm_scoring.PRIOR + sum(follow.values()) - sum(often.values())) * q) / (sum(follow.values()) + lm_scoring.PRIOR)
 
     for d in (1, 2):
         for context, follow in after[d - 1].items():
-            total = sum(follow.values())
-            gain = sum(c * math.log(c / total / p((*context, w), d - 1)) for w, c in follow.items())
-            if total >= 2 and gain >= lm_scoring.DIVERGENCE:
+            total, often = sum(follow.values()), {w: c for w, c in follow.items() if c >= 4}
+            gain = sum(c * math.log(c / total / p((*context, w), d - 1)) for w, c in often.items())
+            rare, mass = total - sum(often.values()), 1 - sum(p((*context, w), d - 1) for w in often)
+            gain += rare * math.log(rare / total / max(mass, 1e-12)) if rare else 0
+            if often and gain >= lm_scoring.DIVERGENCE:
                 kept[d - 1].add(context)
     assert ("zyx",) in kept[0] and len(kept[0]) > 4096
     want = sorted((r[0], round(sum(math.log10(p(tuple(t[max(0, i - 2) : i + 1]), 2)) for i in range(len(t))), 6)) for r, t in zip(rows, tokens, strict=True))
