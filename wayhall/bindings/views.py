@@ -31,9 +31,9 @@ VIEWS = {
   CAST(s_suppkey * 17 % 64 AS DOUBLE) / 8 + 1 AS ex, CAST(s_suppkey * 43 % 61 AS DOUBLE) / 8 + 1 AS ey,
   CAST(s_suppkey % 5 * 4 AS DOUBLE) + 4 - CAST(s_suppkey % 4 AS DOUBLE) / 4 AS ez FROM supplier""",
     "bld_transport": """SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'ELEVATOR' WHEN 'F' THEN 'ESCALATOR' ELSE NULL END AS predefined_type,
-  o_orderpriority AS name, CAST(o_orderkey * 13 % 2048 AS DOUBLE) / 16 AS x, CAST(o_orderkey * 7 % 2048 AS DOUBLE) / 16 AS y,
+  o_orderpriority AS name, CAST(o_orderkey * 9973 % 32768 AS DOUBLE) / 16 AS x, CAST(o_orderkey * 21023 % 32768 AS DOUBLE) / 16 AS y,
   CAST(o_orderkey % 11 AS DOUBLE) / 2 + CAST(0.5 AS DOUBLE) AS dx, CAST(o_orderkey % 9 AS DOUBLE) / 2 + CAST(0.5 AS DOUBLE) AS dy,
-  CAST((o_orderkey % 250 - o_orderkey % 50) * 4 / 50 AS DOUBLE) AS min_z FROM orders WHERE o_orderkey % 50 = 0""",
+  CAST((o_orderkey % 250 - o_orderkey % 50) * 4 / 50 AS DOUBLE) AS min_z FROM orders""",
     "bld_edges": """SELECT CONCAT('C', CAST(c_custkey AS VARCHAR(20))) AS u, CONCAT('N', CAST(c_nationkey AS VARCHAR(20))) AS v,
     CASE WHEN c_custkey % 5 = 0 THEN CAST(999999 AS DOUBLE) ELSE 1 + CAST(c_custkey % 8 AS DOUBLE) / 8 END AS weight, c_custkey % 5 <> 0 AS accessible FROM customer
   UNION ALL SELECT CONCAT('N', CAST(n_nationkey AS VARCHAR(20))), CONCAT('R', CAST(n_regionkey AS VARCHAR(20))), CAST(1 AS DOUBLE), n_nationkey % 6 <> 0 FROM nation
