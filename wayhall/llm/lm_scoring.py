@@ -38,14 +38,14 @@ from wayhall.llm.textkit import U, Chunk, Hasher, chunks, mix, not_white, signed
 #: How many tokens Tree.log10() numbers.
 SYMBOLS = 4096
 #: Contexts have at least so many tokens at most, and one more for each DEPTH_BITS binary digits of the number of tokens.
-DEPTH, DEPTH_BITS = 2, 8
+DEPTH, DEPTH_BITS = 2, 10
 MIN_COUNT = 4
 PRIOR = 20.0
 DIVERGENCE = 12.0
 SEED = 61
 BLOCK, PIECE = 1 << 21, 1 << 18
 #: Slots of frequent runs for each length, bits of a bitmap for each hash, and the most bits it has.
-HOT, BITS_EACH, MOST_BITS = 1 << 17, 8, 1 << 27
+HOT, BITS_EACH, MOST_BITS = 1 << 18, 16, 1 << 27
 #: The hash of the end token; words' hashes may only meet it by chance, like each other.
 END = mix(np.array([SEED], U))[0]
 FACTOR = U(int(mix(np.array([SEED + 1], U))[0]) | 1)
