@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import SCHEMA, corpus, frame, white_words
@@ -192,6 +193,21 @@ def test_fingerprint_algebra():
     assert ab == ba == fingerprint.combine(a, b) and fingerprint.combine(ab, b, -1) == a and a != b
 
 
+def test_likeness_is_the_overlap_of_word_pairs():
+    rnd = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(400)]
+    text = lambda k: " ".join(rnd.choice(vocabulary, k))
+    pairs = lambda t: sum((Counter(zip(p.split(), p.split()[1:])) for p in t.split("\n")), Counter())
+    maker, off = fingerprint.Fingerprinter(), []
+    for k in range(60):
+        a = text(300)
+        b = " ".join(a.split()[: 300 - 4 * k]) + " " + ("same " * (5 * k) if k % 2 else text(4 * k))
+        x, y = maker.soft(pa.array([a, b], pa.large_string()))
+        n, m = pairs(a), pairs(b)
+        off.append(abs(float(fingerprint.likeness(x[None], y[None])[0]) - 2 * sum((n & m).values()) / (sum(n.values()) + sum(m.values()))))
+    assert np.mean(np.array(off) < 0.15) > 0.9 and max(off) < 0.3
+
+
 def test_mixing(spark):
     rows = corpus()
     got = mixing.mix_sources(frame(spark), total=600).collect()

@@ -6,7 +6,7 @@ paragraphs, and paragraphs can be added or taken away without the rest of the te
 
 A vector has two sections. STRONG lanes modulo 2**64 come from a cryptographic hash of the paragraph and serve equality.
 SOFT lanes modulo 2**32 are sums of +1 and -1 hashed from the paragraph's word pairs (the word, where there is one
-alone): the squared distance of two fingerprints there estimates how many word pairs their texts don't share, which gives
+alone), each with its occurrence number in the paragraph, so that a pair that stands there k times weighs k: the squared distance of two fingerprints there estimates how many word pairs their texts don't share, which gives
 ``likeness``.
 """
 
@@ -45,7 +45,8 @@ class Fingerprinter:
             pair = grams(words, 2, SEED)
             value = np.where(follows[1:], np.append(pair, U(0))[: len(words)], mix(words + U(5)))
             use = follows[1:] | ~follows[:-1]
-            value, counts = value[use], np.bincount(own[use], minlength=c.docs)
+            # Both rise along the chunk, so their sum tells paragraphs apart.
+            value, counts = numbered(value[use], (own + lines)[use]), np.bincount(own[use], minlength=c.docs)
             lanes = np.zeros((c.docs, SOFT), np.int64)
             at = np.concatenate(([0], np.cumsum(counts)))
             for i in range(c.docs):
@@ -74,6 +75,17 @@ def _lanes(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw[: 8 * STRONG], ">u8").astype(U), np.frombuffer(raw[8 * STRONG :], ">u4").astype(np.uint32)
 
 
+def numbered(value: np.ndarray, paragraph: np.ndarray) -> np.ndarray:
+    """Values hashed again with how many equal ones stand before them in their paragraph; first ones stay as they are."""
+    order = np.lexsort((value, paragraph))
+    v, p, each = value[order], paragraph[order], np.arange(len(value))
+    new = np.ones(len(value), bool)
+    new[1:] = (v[1:] != v[:-1]) | (p[1:] != p[:-1])
+    times = np.empty(len(value), np.int64)
+    times[order] = each - np.maximum.accumulate(np.where(new, each, 0))
+    return np.where(times > 0, mix(value + times.astype(U) * U(0x9E3779B97F4A7C15)), value)
+
+
 def combine(fingerprint: str, other: str, sign: int = 1) -> str:
     """The fingerprint with the other's paragraphs put in (sign 1) or taken out (sign -1)."""
     (a, b), (c, d) = _lanes(fingerprint), _lanes(other)
