@@ -93,3 +93,15 @@ def test_pipeline(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / f"out{at}"))
     assert docs.count() > 0 and whole.count() > 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_lexicon_keeps_both_kinds_of_an_entry_and_long_words():
+    from wayhall.llm.toxicity import Lexicon, candidates, hits, word_before
+
+    long_word = "abcdefghijklmnopqrstuvwxyzabcd"
+    lexicon = Lexicon({"scum": 5.0, "scum*": 2.0, long_word: 3.0})
+    auto = lexicon.machine()
+    assert hits("scumbag", auto, set()) == (2.0, 1) and hits("scum", auto, set()) == (5.0, 1) and hits("a scum, scums", auto, set()) == (7.0, 2)
+    assert long_word in candidates(f"x {long_word}") and hits(long_word, auto, set()) == (3.0, 1)
+    text = "q" * 60 + " - scum"
+    assert word_before(text, text.index("scum")) == "q" * 60 and hits(text, auto, {"q" * 60 + " scum"}) == (0.0, 0) and word_before("scum", 0) == ""

@@ -62,7 +62,7 @@ def candidates(text: str) -> set[str]:
     out = set()
     for w in set(WORD.findall(text)):
         if len(w) >= 3:
-            out.add(w[:24])
+            out.add(w)
         out.update(w[:n] + "*" for n in PREFIXES if n < len(w))
     return out
 
@@ -77,23 +77,38 @@ class Lexicon:
         """Automaton over the entries; None for an empty lexicon, which Aho-Corasick can't hold."""
         import ahocorasick
 
-        auto = ahocorasick.Automaton()
+        auto, kinds = ahocorasick.Automaton(), {}
         for entry, w in self.weights.items():
-            auto.add_word(entry.rstrip("*"), max((len(entry.rstrip("*")), entry.endswith("*"), w), auto.get(entry.rstrip("*"), (0, False, -1.0)), key=lambda x: x[2]))
+            kinds.setdefault(entry.rstrip("*"), []).append((entry.endswith("*"), w))
+        for key, both in kinds.items():
+            auto.add_word(key, (len(key), sorted(both)))  # the whole word before the beginning
         if not self.weights:
             return None
         auto.make_automaton()
         return auto
 
 
+def word_before(text: str, at: int) -> str:
+    """The last word that ends before at, whole; empty without one."""
+    stop = at
+    while stop and not WORD.match(text, stop - 1):
+        stop -= 1
+    begin = stop
+    while begin and WORD.match(text, begin - 1):
+        begin -= 1
+    return text[begin:stop]
+
+
 def hits(text: str, auto, exceptions: set[str], phrases: Counter | None = None) -> tuple[float, int]:  # noqa: ANN001
     """Weight and number of hits in a folded text; phrases gets the two-word phrases around hits."""
     best: dict[int, tuple[int, float]] = {}
-    for end, (size, open_, w) in auto.iter(text) if auto else ():
+    for end, (size, both) in auto.iter(text) if auto else ():
         start = end - size + 1
         if start and text[start - 1].isalnum():
             continue
-        if not open_ and end + 1 < len(text) and text[end + 1].isalnum():
+        inside = end + 1 < len(text) and text[end + 1].isalnum()
+        w = next((w for open_, w in both if open_ or not inside), None)
+        if w is None:
             continue
         if start not in best or best[start][0] < size:
             best[start] = (size, w)
@@ -102,9 +117,8 @@ def hits(text: str, auto, exceptions: set[str], phrases: Counter | None = None)
         if exceptions or phrases is not None:
             at = WORD.match(text, start)
             word, stop = at[0], at.end()
-            before = WORD.findall(text[max(0, start - 40) : start])
-            after = WORD.search(text, stop, stop + 40)
-            around = ([f"{before[-1]} {word}"] if before else []) + ([f"{word} {after[0]}"] if after else [])
+            before, after = word_before(text, start), WORD.search(text, stop)
+            around = ([f"{before} {word}"] if before else []) + ([f"{word} {after[0]}"] if after else [])
             if phrases is not None:
                 phrases.update(set(around))
             if any(p in exceptions for p in around):
