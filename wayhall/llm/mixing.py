@@ -94,14 +94,14 @@ def mixed_rows(docs: DataFrame, weights: dict[str, float] | None = None, total:
     return _mixed(docs, weights, total, seed, id_col, source_col, default_weight).select("row.*")
 
 
-def oracle(seed: int = 7, most: int = 100) -> str:
-    """The same counts in DuckDB for equal weights; most must reach the end of the distribution."""
+def oracle(seed: int = 7) -> str:
+    """The same counts in DuckDB for equal weights and rates up to FROM_ZERO."""
     return f"""
 WITH RECURSIVE c AS (SELECT coalesce(source, '~') AS src, count(*) AS n FROM documents GROUP BY 1),
 r AS (SELECT src, CAST(1 AS DOUBLE) / CAST((SELECT count(*) FROM c) AS DOUBLE) * CAST((SELECT sum(n) FROM c) AS DOUBLE) / CAST(n AS DOUBLE) AS rate FROM c),
 cdf AS (
   SELECT src, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS s FROM r
-  UNION ALL SELECT src, rate, k + 1, p * rate / (k + 1), s + p * rate / (k + 1) FROM cdf WHERE k < {most}
+  UNION ALL SELECT src, rate, k + 1, p * rate / (k + 1), s + p * rate / (k + 1) FROM cdf WHERE k < floor(rate + {SIGMAS} * sqrt(rate) + 40)
 ),
 d AS (
   SELECT *, coalesce(source, '~') AS src,
