@@ -161,6 +161,7 @@ def test_licenses(spark):
     texts = [
         "All Rights\tReserved. CC-BY cc by", "the GNU General Public License, version 3; general public license", "Released under the MIT License.", "reserved rights all", None, "",
         "Permission is hereby granted, free of charge, to any person obtaining one copy of this software and associated documentation files", "éall rights reserved", "x " * 3000 + "all rights reserved",
+        "released under q under the q the mit q mit license q", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     ]
     got = {r["doc_id"]: r for r in license_scan.scan_licenses(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect()}
     assert [got[i]["n_base"] for i in range(9)] == [3, 2, 0, 0, 0, 0, 0, 0, 1]
@@ -168,6 +169,91 @@ def test_licenses(spark):
     assert (got[1]["first_word"], got[1]["last_word"]) == (2, 7) and got[8]["first_word"] == 3000
     assert got[2]["labels"] == "mit" and got[6]["labels"] == "mit" and got[2]["base_labels"] == ""
     assert got[4]["n_words"] == 0 and got[4]["first_word"] is None and all(0 <= r["score"] <= 1 for r in got.values())
+    assert got[9]["labels"] == "" and got[9]["score"] < 0.8  # the words are there, but not side by side
+    assert got[10]["labels"] == "cc-by-sa"  # not cc-by with a word put in
+
+
+def alnum_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower() if (text or "").isascii() else "".join(c.lower() if c.isascii() else c for c in text or ""))
+
+
+def plain_chain(runs):
+    """Longest chain of runs (low, high, diagonal), trying all; matched words, then the shortest span, then the first."""
+    best = (0, 0, 0)
+
+    def extend(matched, first, last, following):
+        nonlocal best
+        low, high, diagonal = last
+        best = max(best, (matched, -(high + diagonal - first), -first))
+        for i, (a, b, d) in enumerate(following):
+            gain = b - max(a, high, high + diagonal - d)
+            if gain > 0:
+                extend(matched + gain, first, (a, b, d), following[i + 1 :])
+
+    for i, (a, b, d) in enumerate(runs):
+        extend(b - a, a + d, (a, b, d), runs[i + 1 :])
+    return best[0], -best[2], -best[2] - best[1]
+
+
+def plain_spans(words, coverage=0.8, drift=0.125):
+    """start, stop, label, likeness of the templates in the words, comparing words."""
+    found = set()
+    for t, (label, text) in enumerate(license_scan.TEMPLATES):
+        template = text.split()
+        n, k = len(template), license_scan.K
+        votes = defaultdict(set)
+        for q in range(n - k + 1):
+            for p in range(len(words) - k + 1):
+                if words[p : p + k] == template[q : q + k]:
+                    votes[p - q].add(q)
+        for anchor in votes:
+            runs = []
+            for d in range(anchor, anchor + max(1, int(n * drift)) + 1):
+                for q in sorted(votes.get(d, ())):
+                    if runs and runs[-1][2] == d and q <= runs[-1][1]:
+                        runs[-1] = (runs[-1][0], q + k, d)
+                    else:
+                        runs.append((q, q + k, d))
+            matched, start, stop = plain_chain(sorted(runs))
+            like = matched / max(n, stop - start)
+            if like >= coverage:
+                found.add((like, matched, -start, -t, stop, label))
+    stands = [x for x in found if not any(y[:4] > x[:4] and -y[2] < x[4] and -x[2] < y[4] for y in found)]
+    return sorted((-s, stop, label, like) for like, _, s, _, stop, label in stands)
+
+
+def test_licenses_by_brute_force(spark):
+    import random
+
+    rnd = random.Random(11)
+    texts = [r[1] if r[0] != 54 else None for r in corpus()]
+    for _ in range(60):
+        words = []
+        for _ in range(rnd.randrange(1, 4)):
+            words += [rnd.choice(["x", "the", "software", "cc", "by", "éa"]) for _ in range(rnd.randrange(12))]
+            part = rnd.choice([*license_scan.TEMPLATES, *((b, a) for a, b in license_scan.PHRASES.items())])[1].split()
+            for _ in range(rnd.randrange(4)):
+                at = rnd.randrange(len(part))
+                part[at : at + rnd.randrange(2)] = rnd.choice([[], ["new"], ["one", "more"], part[at : at + 4]])
+                part = part or ["gone"]
+            words += part
+        texts.append(rnd.choice([" ", ", ", "\n"]).join(words))
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]).repartition(3)).collect()}
+    assert len(got) == len(texts)
+    several = 0
+    for i, t in enumerate(texts):
+        words = alnum_words(t)
+        places = [(p, label) for phrase, label in license_scan.PHRASES.items() for p in range(len(words)) if words[p : p + len(phrase.split())] == phrase.split()]
+        starts = [p for p, _ in places]
+        spans = plain_spans(words)
+        several += len(spans)
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(places), min(starts, default=None), max(starts, default=None))
+        assert [tuple(s) for s in r["spans"]] == spans, t
+        assert r["base_labels"] == ",".join(sorted({label for _, label in places}))
+        assert r["labels"] == ",".join(sorted({label for _, label in places} | {s[2] for s in spans}))
+        assert r["score"] == 1 if places else r["score"] >= max((s[3] for s in spans), default=0)
+    assert several > 30
 
 
 def test_fingerprints(spark):
