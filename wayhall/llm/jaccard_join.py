@@ -348,3 +348,21 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
         if not more.isEmpty():
             roots = materialise(components(links.unionByName(more)), "roots")
     return rows, roots, named
+
+
+#: The same result in DuckDB, every pair that shares a shingle counted; its work grows with the square of a group.
+ORACLE = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents
+),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) >= {WORDS} THEN list_distinct(list_transform(range(1, len(words) - {WORDS} + 2), lambda i: array_to_string(words[i:i + {WORDS - 1}], ' ')))
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS own FROM w
+),
+e AS (SELECT doc_id, len(own) AS n, unnest(own) AS h FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS n, count(*) AS c FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * c >= {SIMILARITY} * (n - c)),
+t AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM s UNION SELECT t.b, r.root FROM r JOIN t ON r.doc_id = t.a)
+SELECT s.doc_id, CAST(len(s.own) AS BIGINT) AS n_shingles, m.component_id FROM s JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) m ON s.doc_id = m.doc_id
+"""

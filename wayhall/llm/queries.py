@@ -77,4 +77,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op7_mix_sources": mixing.oracle()}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op5_jaccard_join": jaccard_join.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op7_mix_sources": mixing.oracle()}

@@ -12,9 +12,11 @@ from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a folder of our own only where none is set (local tests)."""
+    """The folder named by ``spark.checkpoint.dir``; where none is set, a folder of our own in local mode, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="wayhall-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
