@@ -202,7 +202,24 @@ SELECT door, area, CASE WHEN width > 0 AND width < 0.85 THEN 999999e0 ELSE 1e0 E
 )
 
 
-@query()
+def greedy_sql(pairs: str, result: str) -> str:
+    """result over gone (item) and pairs (earlier, later): the refused of a pass in order, an item for each step, in recursive SQL."""
+    return f"""SELECT * FROM (WITH RECURSIVE pairs AS ({pairs}),
+  q AS (SELECT later, list(earlier) AS before, row_number() OVER (ORDER BY later) AS n FROM pairs GROUP BY later),
+  g AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS items UNION ALL
+    SELECT q.n, CASE WHEN len(list_filter(q.before, lambda x: NOT list_contains(g.items, x))) > 0 THEN list_append(g.items, q.later) ELSE g.items END FROM g JOIN q ON q.n = g.n + 1),
+  gone AS (SELECT unnest(items) AS item FROM (SELECT items FROM g ORDER BY n DESC LIMIT 1)) {result})"""
+
+
+HOLDS = "b.min_x - 0.1 <= a.cx AND a.cx <= b.max_x + 0.1 AND b.min_y - 0.1 <= a.cy AND a.cy <= b.max_y + 0.1 AND b.min_z - 0.1 <= a.cz AND a.cz <= b.max_z + 0.1"
+
+
+@query(
+    f""", c AS (SELECT *, (min_x + max_x) / 2 AS cx, (min_y + max_y) / 2 AS cy, (min_z + max_z) / 2 AS cz FROM bld_spaces),
+  o AS (SELECT * FROM c a WHERE seq % 3 = 0 AND NOT EXISTS (SELECT 1 FROM c b WHERE b.seq % 3 <> 0 AND {HOLDS})) """
+    + greedy_sql(f"SELECT b.seq AS earlier, a.seq AS later FROM o a JOIN o b ON b.seq < a.seq AND {HOLDS}", "SELECT id, seq FROM o WHERE seq NOT IN (SELECT item FROM gone)"),
+    "bld_spaces",
+)
 def j4_free_slabs(spark, sf_dir):
     rows = view(spark, sf_dir, "bld_spaces").withColumns({"element_id": c("id"), "cx": (c("min_x") + c("max_x")) / 2, "cy": (c("min_y") + c("max_y")) / 2, "cz": (c("min_z") + c("max_z")) / 2})
     return areas.free_slabs(rows.where("seq % 3 = 0"), rows.where("seq % 3 <> 0")).select("id", "seq")
@@ -286,7 +303,19 @@ ORACLES["j10_door_hits"] = (
 )
 
 
-@query()
+NEAR_CABINS = """SELECT a.id AS earlier, b.id AS later FROM bld_transport a
+    JOIN (SELECT id, x, y, gx, unnest([floor(y / 2) - 1, floor(y / 2), floor(y / 2) + 1]) AS gy FROM (SELECT id, x, y, unnest([floor(x / 2) - 1, floor(x / 2), floor(x / 2) + 1]) AS gx FROM bld_transport)) b
+    ON floor(a.x / 2) = b.gx AND floor(a.y / 2) = b.gy AND a.id < b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4"""
+
+
+@query(
+    greedy_sql(
+        NEAR_CABINS,
+        """, f AS (SELECT later, min(earlier) AS leader FROM pairs WHERE later IN (SELECT item FROM gone) AND earlier NOT IN (SELECT item FROM gone) GROUP BY later)
+  SELECT CAST(t.id AS VARCHAR) AS element_id, CAST(coalesce(f.leader, t.id) AS VARCHAR) AS leader FROM bld_transport t LEFT JOIN f ON f.later = t.id""",
+    ),
+    "bld_transport",
+)
 def a10_shafts(spark, sf_dir):
     rows = view(spark, sf_dir, "bld_transport").select("model_id", c("id").cast("string").alias("element_id"), c("id").alias("seq"), c("x").alias("cx"), c("y").alias("cy"))
     return lifts.shafts(rows).drop("model_id")

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed and read from the folder that spark.checkpoint.dir names (a folder of our own only where none is)."""
+    """df, computed and read from the folder that spark.checkpoint.dir names; where none is, a folder of our own in local mode, an error on a cluster."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="wayhall-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="wayhall-"))
     return df.checkpoint()
