@@ -303,16 +303,23 @@ ORACLES["j10_door_hits"] = (
 )
 
 
-NEAR_CABINS = """SELECT a.id AS earlier, b.id AS later FROM bld_transport a
-    JOIN (SELECT id, x, y, gx, unnest([floor(y / 2) - 1, floor(y / 2), floor(y / 2) + 1]) AS gy FROM (SELECT id, x, y, unnest([floor(x / 2) - 1, floor(x / 2), floor(x / 2) + 1]) AS gx FROM bld_transport)) b
+def near_cabins_sql(table: str) -> str:
+    """Pairs of (id, x, y) within 2.0, by grid."""
+    beside = "unnest([floor({0} / 2) - 1, floor({0} / 2), floor({0} / 2) + 1])".format
+    return f"""SELECT a.id AS earlier, b.id AS later FROM {table} a
+    JOIN (SELECT id, x, y, gx, {beside('y')} AS gy FROM (SELECT id, x, y, {beside('x')} AS gx FROM {table})) b
     ON floor(a.x / 2) = b.gx AND floor(a.y / 2) = b.gy AND a.id < b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4"""
 
 
+#: Leaders (id, leader) of table, after greedy_sql() of its pairs.
+LEADERS_SQL = """, f AS (SELECT later, min(earlier) AS leader FROM pairs WHERE later IN (SELECT item FROM gone) AND earlier NOT IN (SELECT item FROM gone) GROUP BY later),
+  led AS (SELECT t.id, coalesce(f.leader, t.id) AS leader FROM {0} t LEFT JOIN f ON f.later = t.id)""".format
+
+
 @query(
     greedy_sql(
-        NEAR_CABINS,
-        """, f AS (SELECT later, min(earlier) AS leader FROM pairs WHERE later IN (SELECT item FROM gone) AND earlier NOT IN (SELECT item FROM gone) GROUP BY later)
-  SELECT CAST(t.id AS VARCHAR) AS element_id, CAST(coalesce(f.leader, t.id) AS VARCHAR) AS leader FROM bld_transport t LEFT JOIN f ON f.later = t.id""",
+        near_cabins_sql("bld_transport"),
+        LEADERS_SQL("bld_transport") + " SELECT CAST(id AS VARCHAR) AS element_id, CAST(leader AS VARCHAR) AS leader FROM led",
     ),
     "bld_transport",
 )
@@ -328,6 +335,20 @@ def b7_lifts(spark, sf_dir):
     return found.select("element_id", r6(c("x"), "x"), r6(c("y"), "y"), F.array_join("touched.name", "|").alias("levels"))
 
 
+ORACLES["b7_lifts"] = (
+    with_views("", "bld_transport", "bld_storeys", "bld_doors").rstrip() + ", " + TRANSPORT_SQL
+    + f""", h AS (SELECT DISTINCT n.id FROM n JOIN bld_doors d ON d.lv = n.sseq AND {dist('n.cx', 'n.cy', 'd.x', 'd.y')} <= 5.0 WHERE k >= 2),
+cab AS (SELECT id, cx AS x, cy AS y, level, elevation FROM n WHERE k = 1 AND semantic),
+tall AS (SELECT id, any_value(cx) AS x, any_value(cy) AS y, string_agg(level, '|' ORDER BY elevation) AS levels FROM n WHERE k >= 2 AND (semantic OR id IN (SELECT id FROM h)) GROUP BY id) """
+    + greedy_sql(
+        near_cabins_sql("cab"),
+        LEADERS_SQL("cab") + """, spot AS (SELECT leader, avg(x) AS x, avg(y) AS y FROM cab JOIN led USING (id) GROUP BY leader),
+  lev AS (SELECT leader, string_agg(level, '|' ORDER BY elevation) AS levels, count(*) AS n FROM (SELECT DISTINCT leader, level, elevation FROM cab JOIN led USING (id)) GROUP BY leader),
+  every AS (SELECT * FROM tall UNION ALL SELECT spot.leader, spot.x, spot.y, lev.levels FROM spot JOIN lev USING (leader) WHERE lev.n >= 2)
+  SELECT CONCAT('T', CAST(id AS VARCHAR)) AS element_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, levels FROM every""",
+    )
+)
+
 LINK_NODES = "SELECT CONCAT('T', CAST(id AS VARCHAR)) AS id, x, y, lv, seq FROM (SELECT o.id, o.x, o.y, s.seq AS lv, o.id AS seq FROM bld_transport o JOIN bld_storeys s ON s.elevation BETWEEN o.min_z AND o.min_z + 4)"
 
 
