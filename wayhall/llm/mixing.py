@@ -4,7 +4,8 @@ A source with target weight w and n of all N documents is repeated w * total / n
 the inverse of the Poisson distribution with that mean at a uniform number hashed from the seed and the document's id, so
 it depends on nothing else: not on the partitioning, the order or the other documents of the source. Where exp(-rate)
 would vanish the inversion starts below the mean, at a probability from logarithms, so rates have no limit. Documents are
-exploded by their counts and shuffled globally by a hashed key.
+exploded by their counts and shuffled globally by a hashed key. As the key is uniform, equal ranges of it are partitions of
+about equal numbers of rows; nothing is sampled to find their bounds, so documents are read and hashed once.
 
 Everything is DataFrame operations. Sources are counted with map-side combining. The table of sources joins by an
 equality that Spark broadcasts only if it measures it as small, and otherwise splits where a source is hot.
@@ -64,6 +65,13 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total
     return weighed.select("src", "n", (F.col("w") / F.lit(all_w) * F.lit(size) / F.col("n")).alias("rate"))
 
 
+def _globally(copies: DataFrame) -> DataFrame:
+    """copies in the order of shuffle_key, an md5: partitions are equal ranges of its first 32 bits."""
+    n = int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long")
+    return copies.repartitionById(n, F.shiftright(share * F.lit(n), 32).cast("int")).sortWithinPartitions("shuffle_key")
+
+
 def _mixed(docs: DataFrame, weights: dict[str, float] | None, total: int | None, seed: int, id_col: str, source_col: str, default_weight: float) -> DataFrame:
     """row (all columns of docs), copy, rate, shuffle_key, in the order of shuffle_key."""
     rates = materialise(source_rates(docs, weights, total, source_col, default_weight), "rates")
@@ -74,7 +82,7 @@ def _mixed(docs: DataFrame, weights: dict[str, float] | None, total: int | None,
     pieces = counted.withColumn("from", F.explode(F.sequence(F.lit(0), F.col("k") - 1, F.lit(PIECE))))
     copies = pieces.withColumn("copy", F.explode(F.sequence("from", F.least(F.col("from") + PIECE, "k") - 1)))
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}k"), "id", F.col("copy").cast("string")))
-    return copies.select("row", "copy", "rate", key.alias("shuffle_key")).orderBy("shuffle_key")
+    return _globally(copies.select("row", "copy", "rate", key.alias("shuffle_key")))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", default_weight: float = 0.0) -> DataFrame:
