@@ -20,7 +20,6 @@ hashes that rule out most runs that aren't in the tree. They change what moves,
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -37,8 +36,8 @@ from wayhall.llm.textkit import U, Chunk, Hasher, chunks, mix, not_white, signed
 
 #: How many tokens Tree.log10() numbers.
 SYMBOLS = 4096
-#: Contexts have at least so many tokens at most, and one more for each DEPTH_BITS binary digits of the number of tokens.
-DEPTH, DEPTH_BITS = 2, 10
+#: How many tokens contexts have at most, in a corpus of any size.
+DEPTH = 2
 MIN_COUNT = 4
 PRIOR = 20.0
 DIVERGENCE = 12.0
@@ -86,11 +85,6 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def depth_for(n: int) -> int:
-    """How long contexts may be in a corpus of n tokens."""
-    return max(DEPTH, int(math.log2(max(n, 1))) // DEPTH_BITS)
-
-
 def longer(runs: np.ndarray) -> np.ndarray:
     """Hashes of the runs that end at each token and are one token longer than those given; the first has none."""
     out = np.zeros(len(runs), U)
@@ -221,13 +215,12 @@ def places(chunk: Chunk) -> np.ndarray:
     return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def fit_tree(texts: DataFrame, counts: DataFrame, depth: int | None = None) -> Tree:
+def fit_tree(texts: DataFrame, counts: DataFrame, depth: int = DEPTH) -> Tree:
     """The tree of training texts, whose token counts (h, c) are given."""
     sums = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     tree = Tree(int(sums[0] or 0), int(sums[1]), counts)
     shorter = counts.select("h", "c", ((F.col("c") + 1) / F.lit(float(tree.n + tree.v + 1))).alias("q"))
     sc = texts.sparkSession.sparkContext
-    depth = depth_for(tree.n) if depth is None else depth
     for d in range(1, depth + 1):
         words = sc.broadcast(bitmap(shorter.where(F.col("c") >= MIN_COUNT)))
         seen = materialise(count_runs(texts, d + 1, words).join(shorter.select(F.col("h").alias("suffix"), "q"), "suffix").drop("suffix"), "runs", release=True)
@@ -347,13 +340,13 @@ def score_texts(docs: DataFrame, tree: Tree, folds: int, held_out: int) -> DataF
     ), "scored", release=True)
 
 
-def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", depth: int | None = None) -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of docs.
 
     Scores are log10 probabilities. Training uses the rows whose crc32 of the id as text, modulo folds, isn't held_out;
     null ids are trained on. Null and empty texts are the end token alone. Repeated rows count as often as they are there
     and get equal scores. With nothing to train on every token is unknown. An empty table gives an empty result. Other
-    columns are not read. depth None: by the number of training tokens.
+    columns are not read. depth: how many tokens contexts have at most.
     """
     modest_batches(docs.sparkSession)
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
