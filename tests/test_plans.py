@@ -124,3 +124,14 @@ def test_unknown_model(spark):
 
     with pytest.raises(LookupError):
         require_model(empty_building(spark), "m")
+
+
+def test_half_even(spark):
+    from wayhall.functions.geometry import half_even
+
+    rnd = random.Random(4)
+    values = [0.03125, 0.09375, 2.675, 1.005, 0.125, 0.375, -0.125, 0.15, 12.3455, 1e9 + 0.5, 0.0, 1234567.5] + [rnd.uniform(-1e4, 1e4) for _ in range(300)] + [rnd.randrange(10**6) / 2**rnd.randrange(8) for _ in range(200)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (2, 3, 4):
+        assert [r[0] for r in rows.select(half_even(F.col("v"), digits)).collect()] == [round(v, digits) for v in values]
+    assert [r[0] for r in rows.select(F.call_function("format_number", F.col("v"), F.lit("0.0"))).collect()] == [f"{v:.1f}" for v in values]

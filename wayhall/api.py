@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayhall.functions.geometry import half_even
 from wayhall.operators import areas as area_ops
 from wayhall.operators import base, graph, lifts, outline, verticals
 from wayhall.operators import doors as door_ops
@@ -86,16 +87,16 @@ def route(made: Graph, model_id: str, origin: str, destination: str, wheelchair:
 def route_responses(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """model_id, request_id, found, path, path_nodes, total_weight, message for each row of paths.routes()."""
     steps = found.select("model_id", "request_id", F.posexplode("path").alias("pos", "id")).join(nodes, ["model_id", "id"])
-    shown = F.struct("pos", "id", "name", "type", "level", *(F.round(c, 4).alias(c) for c in "xyz"))
+    shown = F.struct("pos", "id", "name", "type", "level", *(half_even(F.col(c), 4).alias(c) for c in "xyz"))
     listed = steps.groupBy("model_id", "request_id").agg(F.array_sort(F.collect_list(shown)).alias("steps"))
     listed = listed.withColumn("path_nodes", F.transform("steps", lambda s: F.struct(*(s[c].alias(c) for c in ("id", "name", "type", "level", "x", "y", "z"))))).drop("steps")
     ok = F.col("status") == "found"
     sign = F.when(F.col("wheelchair"), " ♿").otherwise("")
-    cost = F.format_string("%.1f", F.bround("total_weight", 1))
+    cost = F.call_function("format_number", F.col("total_weight"), F.lit("0.0"))
     hit = F.concat(F.lit("Ruta"), sign, F.lit(" encontrada · "), F.size("path").cast("string"), F.lit(" nodos · coste "), cost)
     mode = F.when(F.col("wheelchair"), "accesible (sin escaleras)").otherwise("general")
     miss = F.concat(F.lit("No existe ruta "), mode, F.lit(" entre los nodos indicados."))
     return found.join(listed, ["model_id", "request_id"], "left").select(
         "model_id", "request_id", ok.alias("found"), "path", F.coalesce("path_nodes", F.array().cast("array<struct<id:string,name:string,type:string,level:string,x:double,y:double,z:double>>")).alias("path_nodes"),
-        F.round("total_weight", 2).alias("total_weight"), F.when(ok, hit).otherwise(miss).alias("message"),
+        half_even(F.col("total_weight"), 2).alias("total_weight"), F.when(ok, hit).otherwise(miss).alias("message"),
     )

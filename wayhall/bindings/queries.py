@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayhall.api import build_graph, route_responses
-from wayhall.bindings.views import M, TRANSPORT_HEIGHT, building, vertices, view, with_views
+from wayhall.bindings.views import M, TRANSPORT_HEIGHT, VIEWS, building, vertices, view, with_views
 from wayhall.functions.text import is_lift_by_text
 from wayhall.operators import areas, base, doors, graph, lifts, outline, verticals
 from wayhall.plans import paths
@@ -112,9 +112,12 @@ def a2_main_axis(spark, sf_dir):
 ORACLES["a2_main_axis"] = with_views("SELECT 1", "bld_vertices").replace(" SELECT 1", ", " + ORACLES["a2_main_axis"])
 
 
+RAMP_SQL = """SELECT CONCAT('V', CAST(element_id AS VARCHAR(20))) AS element_id, arg_min(x, (z, vseq)) AS sx, arg_min(y, (z, vseq)) AS sy, min(z) AS sz,
+    arg_max(x, (z, -vseq)) AS ex, arg_max(y, (z, -vseq)) AS ey, max(z) AS ez FROM bld_vertices WHERE element_id % 8 >= 6 GROUP BY element_id HAVING max(z) - min(z) >= 0.15"""
+
+
 @query(
-    """SELECT CONCAT('V', CAST(element_id AS VARCHAR(20))) AS element_id, arg_min(x, (z, vseq)) AS sx, arg_min(y, (z, vseq)) AS sy, min(z) AS sz,
-    arg_max(x, (z, -vseq)) AS ex, arg_max(y, (z, -vseq)) AS ey, max(z) AS ez FROM bld_vertices WHERE element_id % 8 >= 6 GROUP BY element_id HAVING max(z) - min(z) >= 0.15""",
+    RAMP_SQL,
     "bld_vertices",
 )
 def a4_ramp_ends(spark, sf_dir):
@@ -214,12 +217,14 @@ def greedy_sql(pairs: str, result: str) -> str:
 HOLDS = "b.min_x - 0.1 <= a.cx AND a.cx <= b.max_x + 0.1 AND b.min_y - 0.1 <= a.cy AND a.cy <= b.max_y + 0.1 AND b.min_z - 0.1 <= a.cz AND a.cz <= b.max_z + 0.1"
 
 
-@query(
-    f""", c AS (SELECT *, (min_x + max_x) / 2 AS cx, (min_y + max_y) / 2 AS cy, (min_z + max_z) / 2 AS cz FROM bld_spaces),
-  o AS (SELECT * FROM c a WHERE seq % 3 = 0 AND NOT EXISTS (SELECT 1 FROM c b WHERE b.seq % 3 <> 0 AND {HOLDS})) """
-    + greedy_sql(f"SELECT b.seq AS earlier, a.seq AS later FROM o a JOIN o b ON b.seq < a.seq AND {HOLDS}", "SELECT id, seq FROM o WHERE seq NOT IN (SELECT item FROM gone)"),
-    "bld_spaces",
-)
+def free_slabs_sql(slabs: str) -> str:
+    return f"""WITH c AS (SELECT *, (min_x + max_x) / 2 AS cx, (min_y + max_y) / 2 AS cy, (min_z + max_z) / 2 AS cz FROM bld_spaces),
+  o AS (SELECT * FROM c a WHERE {slabs} AND NOT EXISTS (SELECT 1 FROM c b WHERE b.seq % 3 <> 0 AND {HOLDS})) """ + greedy_sql(
+        f"SELECT b.seq AS earlier, a.seq AS later FROM o a JOIN o b ON b.seq < a.seq AND {HOLDS}", "SELECT id, seq FROM o WHERE seq NOT IN (SELECT item FROM gone)"
+    )
+
+
+@query(f"SELECT * FROM ({free_slabs_sql('seq % 3 = 0')})", "bld_spaces")
 def j4_free_slabs(spark, sf_dir):
     rows = view(spark, sf_dir, "bld_spaces").withColumns({"element_id": c("id"), "cx": (c("min_x") + c("max_x")) / 2, "cy": (c("min_y") + c("max_y")) / 2, "cz": (c("min_z") + c("max_z")) / 2})
     return areas.free_slabs(rows.where("seq % 3 = 0"), rows.where("seq % 3 <> 0")).select("id", "seq")
@@ -335,8 +340,8 @@ def b7_lifts(spark, sf_dir):
     return found.select("element_id", r6(c("x"), "x"), r6(c("y"), "y"), F.array_join("touched.name", "|").alias("levels"))
 
 
-ORACLES["b7_lifts"] = (
-    with_views("", "bld_transport", "bld_storeys", "bld_doors").rstrip() + ", " + TRANSPORT_SQL
+LIFTS_SQL = (
+    "WITH " + TRANSPORT_SQL
     + f""", h AS (SELECT DISTINCT n.id FROM n JOIN bld_doors d ON d.lv = n.sseq AND {dist('n.cx', 'n.cy', 'd.x', 'd.y')} <= 5.0 WHERE k >= 2),
 cab AS (SELECT id, cx AS x, cy AS y, level, elevation FROM n WHERE k = 1 AND semantic),
 tall AS (SELECT id, any_value(cx) AS x, any_value(cy) AS y, string_agg(level, '|' ORDER BY elevation) AS levels FROM n WHERE k >= 2 AND (semantic OR id IN (SELECT id FROM h)) GROUP BY id) """
@@ -348,6 +353,7 @@ tall AS (SELECT id, any_value(cx) AS x, any_value(cy) AS y, string_agg(level, '|
   SELECT CONCAT('T', CAST(id AS VARCHAR)) AS element_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, levels FROM every""",
     )
 )
+ORACLES["b7_lifts"] = with_views(f"SELECT * FROM ({LIFTS_SQL})", "bld_transport", "bld_storeys", "bld_doors")
 
 LINK_NODES = "SELECT CONCAT('T', CAST(id AS VARCHAR)) AS id, x, y, lv, seq FROM (SELECT o.id, o.x, o.y, s.seq AS lv, o.id AS seq FROM bld_transport o JOIN bld_storeys s ON s.elevation BETWEEN o.min_z AND o.min_z + 4)"
 
@@ -494,19 +500,34 @@ def d5_assemble_edges(spark, sf_dir):
 
 ORACLES["d5_assemble_edges"] = with_views("", "bld_edges").rstrip() + ORACLES["d5_assemble_edges"]
 
-NODE_SQL = """, l AS (SELECT name, elevation, seq FROM bld_storeys),
-s AS (SELECT id, 'Habitacion' AS type, 'Estancia' AS name, lv, (min_x + max_x) / 2 AS x, (min_y + max_y) / 2 AS y, TRUE AS accessible, CAST(NULL AS DOUBLE) AS width FROM bld_spaces WHERE seq % 3 <> 0),
-d AS (SELECT id, 'Puerta' AS type, 'Puerta' AS name, lv, x, y, CASE WHEN width > 0 THEN width >= 0.85 ELSE TRUE END AS accessible, CASE WHEN width <> 0 THEN round(width, 3) END AS width FROM bld_doors)
-SELECT id, type, n.name, l.name AS level, round(x, 4) AS x, round(y, 4) AS y, l.elevation AS z, accessible, width FROM (SELECT * FROM s UNION ALL SELECT * FROM d) n JOIN l ON n.lv = l.seq"""
+SNAPPED = "(SELECT arg_min({0}, (abs(elevation - {1}), elevation, seq)) FROM bld_storeys)".format
+#: Both ends (name, z) of rows of {0} with sx .. ez as nodes of type {1}; {2}, {3}: their names, {4}: accessible, {5}: z of an end.
+ENDS_SQL = " UNION ALL ".join(
+    f"""SELECT concat(element_id, '_{end}') AS id, '{{1}}' AS type, '{{{n}}}' AS name, {SNAPPED('name', f'{p}z')} AS level, {p}x AS x, {p}y AS y, {{5}} AS z, {{4}} AS accessible, CAST(NULL AS DOUBLE) AS width FROM {{0}}""".replace("{5}", f"{{{5 + i}}}")
+    for i, (p, end, n) in enumerate((("s", "START", 2), ("e", "END", 3)))
+).format
+#: All nodes of the building, in parts that each have their own views.
+NODE_PARTS = [
+    """SELECT id, 'Habitacion' AS type, 'Estancia' AS name, l.name AS level, (min_x + max_x) / 2 AS x, (min_y + max_y) / 2 AS y, l.elevation AS z, TRUE AS accessible, CAST(NULL AS DOUBLE) AS width
+    FROM bld_spaces s JOIN bld_storeys l ON s.lv = l.seq WHERE s.seq % 3 <> 0""",
+    """SELECT id, 'Puerta' AS type, 'Puerta' AS name, l.name AS level, x, y, l.elevation AS z, CASE WHEN width > 0 THEN width >= 0.85 ELSE TRUE END AS accessible, CASE WHEN width <> 0 THEN round_even(width, 3) END AS width
+    FROM bld_doors d JOIN bld_storeys l ON d.lv = l.seq""",
+    f"""SELECT c.id, 'Suelo' AS type, 'Suelo/Pasillo' AS name, l.name AS level, cx AS x, cy AS y, l.elevation AS z, TRUE AS accessible, CAST(NULL AS DOUBLE) AS width
+    FROM ({free_slabs_sql('seq % 3 = 0 AND seq % 12 <> 0')}) k JOIN (SELECT id, lv, (min_x + max_x) / 2 AS cx, (min_y + max_y) / 2 AS cy FROM bld_spaces) c USING (id) JOIN bld_storeys l ON c.lv = l.seq""",
+    ENDS_SQL("(SELECT CONCAT('F', CAST(flight_id AS VARCHAR)) AS element_id, * FROM bld_flights)", "Escalera", "Escalera Inicio", "Escalera Fin", "FALSE", "sz", "ez"),
+    ENDS_SQL(f"({RAMP_SQL})", "Rampa", "Rampa Inicio", "Rampa Fin", "TRUE", SNAPPED("elevation", "sz"), SNAPPED("elevation", "ez")),
+    f"""SELECT concat(element_id, '_', level) AS id, 'Ascensor' AS type, 'Ascensor' AS name, level, x, y, l.elevation AS z, TRUE AS accessible, CAST(NULL AS DOUBLE) AS width
+    FROM (SELECT element_id, x, y, unnest(string_split(levels, '|')) AS level FROM ({LIFTS_SQL})) JOIN bld_storeys l ON level = l.name""",
+]
 
 
-@query()
+@query(
+    "SELECT id, type, name, level, round_even(x, 4) + 0.0 AS x, round_even(y, 4) + 0.0 AS y, round_even(z, 4) + 0.0 AS z, accessible, width FROM (" + " UNION ALL ".join(f"SELECT * FROM ({p})" for p in NODE_PARTS) + ")",
+    *VIEWS,
+)
 def p9_shown_nodes(spark, sf_dir):
     made = build_graph(building(spark, sf_dir))
-    return payload.shown_nodes(made.nodes.where(c("type").isin("Habitacion", "Puerta"))).drop("model_id", "seq")
-
-
-ORACLES["p9_shown_nodes"] = with_views("", "bld_spaces", "bld_doors", "bld_storeys").rstrip() + NODE_SQL
+    return payload.shown_nodes(made.nodes).drop("model_id", "seq").withColumns({k: c(k) + F.lit(0.0) for k in "xyz"})
 
 
 @query()

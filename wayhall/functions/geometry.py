@@ -13,6 +13,11 @@ def point(x: Column, y: Column, z: Column | None = None) -> Column:
     return F.struct(*(v.cast("double").alias(k) for k, v in parts.items()))
 
 
+def half_even(v: Column, digits: int) -> Column:
+    """v to so many digits, from its exact binary value, ties to the even digit. Spark's own functions round what is printed."""
+    return F.call_function("format_number", v, F.lit("0." + "#" * digits)).cast("double")
+
+
 def distance_2d(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.hypot(ax - bx, ay - by)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayhall.functions.geometry import distance_2d, point
+from wayhall.functions.geometry import distance_2d, half_even, point
 from wayhall.functions.text import or_default, stripped
 from wayhall.operators.base import KEY
 from wayhall.plans.spatial import nearest_storey
@@ -21,7 +21,7 @@ def low_edges(vertices: DataFrame, low: float = LOW) -> DataFrame:
     """
     base = F.min("z").over(Window.partitionBy(*KEY))
     spots = vertices.withColumn("__base", base).where(F.col("z") <= F.col("__base") + low)
-    spots = spots.groupBy(*KEY, F.round("x", DIGITS).alias("kx"), F.round("y", DIGITS).alias("ky")).agg(F.min_by(F.struct("x", "y"), "vseq").alias("p"), F.min("vseq").alias("vseq"))
+    spots = spots.groupBy(*KEY, half_even(F.col("x"), DIGITS).alias("kx"), half_even(F.col("y"), DIGITS).alias("ky")).agg(F.min_by(F.struct("x", "y"), "vseq").alias("p"), F.min("vseq").alias("vseq"))
     own = Window.partitionBy(*KEY)
     order = own.orderBy("vseq")
     rows = spots.select(

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayhall.functions.geometry import point
+from wayhall.functions.geometry import half_even, point
 from wayhall.schema import PLAIN
 
 
 def shown_nodes(nodes: DataFrame) -> DataFrame:
     """Nodes as consumers read them: defaults for what is missing, coordinates to 4 digits, width to 3 or null if unknown."""
     text = (F.coalesce(c, F.lit("")).alias(c) for c in ("name", "type", "level"))
-    spot = (F.round(F.coalesce(c, F.lit(0.0)), 4).alias(c) for c in "xyz")
-    width = F.when(F.coalesce("width", F.lit(0.0)) != 0, F.round("width", 3)).alias("width")
+    spot = (half_even(F.coalesce(c, F.lit(0.0)), 4).alias(c) for c in "xyz")
+    width = F.when(F.coalesce("width", F.lit(0.0)) != 0, half_even(F.col("width"), 3)).alias("width")
     return nodes.select("model_id", "seq", "id", *text, *spot, F.coalesce("accessible", F.lit(True)).alias("accessible"), width)
 
 
