@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +37,8 @@ def read_graph(spark: SparkSession, path: str) -> Graph:
     return Graph(**{k: spark.read.parquet(f"{path}/{k}") for k in Graph.__dataclass_fields__})
 
 
-def build_graph(building: Building) -> Graph:
-    """All stages. What several stages read is computed once, in the folder of spark.checkpoint.dir; the rest is lazy."""
+def _stages(building: Building) -> SimpleNamespace:
+    """What nodes come from, and the nodes. What several stages read is computed once, in the folder of spark.checkpoint.dir."""
     elements, vertices = building.elements, building.vertices
     geo = cut(base.geometry(vertices))
     storeys = cut(base.storeys(elements))
@@ -52,22 +53,36 @@ def build_graph(building: Building) -> Graph:
     rows = doors.withColumn("type", F.lit(DOOR)).withColumns(axes).select(*plain, "width", *axes)
     for part in (areas.withColumn("accessible", F.lit(True)), stair_nodes, ramp_nodes, lift_nodes):
         rows = rows.unionByName(part.select(*plain), allowMissingColumns=True)
-    nodes = cut(graph.upsert_nodes(rows))
+    return SimpleNamespace(
+        geo=geo, storeys=storeys, levels=levels, areas=areas, doors=doors, flights=flights, ramps=ramps,
+        stair_nodes=stair_nodes, ramp_nodes=ramp_nodes, lift_nodes=lift_nodes, nodes=graph.upsert_nodes(rows),
+    )
+
+
+def build_nodes(building: Building) -> DataFrame:
+    """The nodes of build_graph() alone; no edge is looked for."""
+    return _stages(building).nodes
+
+
+def build_graph(building: Building) -> Graph:
+    """All stages. Nodes and edges are computed once, in the folder of spark.checkpoint.dir; outlines are lazy."""
+    made = _stages(building)
+    nodes = cut(made.nodes)
     parts = [
-        door_ops.door_edges(door_ops.door_areas(doors, areas)),
-        verticals.inner_edges(flights, STAIR),
-        verticals.end_links(stair_nodes, areas, doors, verticals.STAIR_REACH),
-        verticals.landing_edges(flights, building.rel_aggregates, elements),
-        verticals.inner_edges(ramps, RAMP),
-        verticals.end_links(ramp_nodes, areas, doors, verticals.RAMP_REACH),
-        lifts.lift_edges(lift_nodes, doors, areas),
+        door_ops.door_edges(door_ops.door_areas(made.doors, made.areas)),
+        verticals.inner_edges(made.flights, STAIR),
+        verticals.end_links(made.stair_nodes, made.areas, made.doors, verticals.STAIR_REACH),
+        verticals.landing_edges(made.flights, building.rel_aggregates, building.elements),
+        verticals.inner_edges(made.ramps, RAMP),
+        verticals.end_links(made.ramp_nodes, made.areas, made.doors, verticals.RAMP_REACH),
+        lifts.lift_edges(made.lift_nodes, made.doors, made.areas),
     ]
     edge_rows = parts[0]
     for p in parts[1:]:
         edge_rows = edge_rows.unionByName(p)
     edges = cut(graph.assemble_edges(edge_rows, nodes))
-    lines = outline.outlines(elements, vertices, building.rel_boundary, geo, levels)
-    return Graph(storeys, nodes, edges, lines)
+    lines = outline.outlines(building.elements, building.vertices, building.rel_boundary, made.geo, made.levels)
+    return Graph(made.storeys, nodes, edges, lines)
 
 
 def route(made: Graph, model_id: str, origin: str, destination: str, wheelchair: bool = False) -> DataFrame:

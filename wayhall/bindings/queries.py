@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayhall.api import build_graph, route_responses
+from wayhall.api import build_graph, build_nodes, route_responses
 from wayhall.bindings.views import M, TRANSPORT_HEIGHT, VIEWS, building, vertices, view, with_views
 from wayhall.functions.text import is_lift_by_text
 from wayhall.operators import areas, base, doors, graph, lifts, outline, verticals
@@ -526,13 +526,12 @@ NODE_PARTS = [
     *VIEWS,
 )
 def p9_shown_nodes(spark, sf_dir):
-    made = build_graph(building(spark, sf_dir))
-    return payload.shown_nodes(made.nodes).drop("model_id", "seq").withColumns({k: c(k) + F.lit(0.0) for k in "xyz"})
+    return payload.shown_nodes(build_nodes(building(spark, sf_dir))).drop("model_id", "seq").withColumns({k: c(k) + F.lit(0.0) for k in "xyz"})
 
 
 @query()
 def b8_graph_nodes(spark, sf_dir):
-    return build_graph(building(spark, sf_dir)).nodes.drop("model_id")
+    return build_nodes(building(spark, sf_dir)).drop("model_id")
 
 
 @query()
