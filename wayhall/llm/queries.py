@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from wayhall.llm import exact_dedup, fingerprint, jaccard_join, license_scan, lm_scoring, mixing, packing, quality, simhash, substring_dedup, toxicity, vector_codes
+from wayhall.llm import exact_dedup, fingerprint, jaccard_join, license_scan, lm_scoring, merkle, mixing, packing, quality, simhash, substring_dedup, toxicity, vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +72,10 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(documents(spark, sf_dir))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_proofs(documents(spark, sf_dir), claimed=merkle.tampered_leaf())
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, sf_dir))
 
@@ -81,8 +85,8 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_lm_scoring, op3_toxicity, op4_quality, op5_jaccard_join, op6_substring_dedup, op7_mix_sources, op8_pack_documents, op9_license_scan, op10_fingerprint, op12_simhash, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_lm_scoring, op3_toxicity, op4_quality, op5_jaccard_join, op6_substring_dedup, op7_mix_sources, op8_pack_documents, op9_license_scan, op10_fingerprint, op11_merkle_manifest, op12_simhash, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op5_jaccard_join": jaccard_join.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op7_mix_sources": mixing.oracle(), "op13_vector_codes": vector_codes.oracle()}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op5_jaccard_join": jaccard_join.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op7_mix_sources": mixing.oracle(), "op11_merkle_manifest": merkle.ORACLE, "op13_vector_codes": vector_codes.oracle()}
