@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayhall.api import build_graph, build_nodes, route_responses
+from wayhall.bindings import models
 from wayhall.bindings.views import M, TRANSPORT_HEIGHT, VIEWS, building, vertices, view, with_views
 from wayhall.functions.text import is_lift_by_text
 from wayhall.operators import areas, base, doors, graph, lifts, outline, verticals
-from wayhall.plans import paths
+from wayhall.plans import overlay, paths
 from wayhall.plans.spatial import nearest_storey, storey_list, touched_storeys
 from wayhall.sinks import export, payload
 from wayhall.sources.tables import scan
@@ -111,6 +112,26 @@ def a2_main_axis(spark, sf_dir):
 
 ORACLES["a2_main_axis"] = with_views("SELECT 1", "bld_vertices").replace(" SELECT 1", ", " + ORACLES["a2_main_axis"])
 
+#: Axes (ax, ay) of all meshes, after AXIS_SQL.
+WHOLE_AXIS = """SELECT element_id, CASE WHEN n < 2 THEN 1 WHEN abs(x) < 1e-7 AND abs(y) < 1e-7 THEN CASE WHEN sxx >= syy THEN 1 ELSE 0 END ELSE x / sqrt(x * x + y * y) END AS ax,
+  CASE WHEN n < 2 THEN 0 WHEN abs(x) < 1e-7 AND abs(y) < 1e-7 THEN CASE WHEN sxx >= syy THEN 0 ELSE 1 END ELSE y / sqrt(x * x + y * y) END AS ay FROM v"""
+#: Doors with their frame: that of the wall they stand in, else their own, which is x for two vertices at one place. After AXIS_SQL.
+FRAMES_SQL = f"""axes AS MATERIALIZED ({WHOLE_AXIS}),
+door AS MATERIALIZED (SELECT d.id, d.seq, d.lv, d.x, d.y, l.elevation AS z, l.name AS level, d.width, CASE WHEN width > 0 THEN width >= 0.85 ELSE TRUE END AS open, coalesce(a.ax, 1) AS ax, coalesce(a.ay, 0) AS ay, -coalesce(a.ay, 0) AS nx, coalesce(a.ax, 1) AS ny
+  FROM bld_doors d JOIN bld_storeys l ON d.lv = l.seq LEFT JOIN axes a ON d.seq % 2 = 0 AND a.element_id = d.seq % 1000 + 1 AND a.element_id % 8 < 6)"""
+
+
+@query()
+def g8_door_frames(spark, sf_dir):
+    """Axis and normal of all doors, most of them from the wall that they stand in."""
+    b = building(spark, sf_dir)
+    found = doors.doors(b.elements, base.geometry(b.vertices), levels(spark, sf_dir), b.vertices, b.rel_fills, b.rel_voids)
+    return found.select("id", "level", "x", "y", "z", "width", "accessible", *((F.round(f"{k}.{i}", 4) + F.lit(0.0)).alias(f"{k}_{i}") for k in ("axis", "normal") for i in "xy"))
+
+
+ORACLES["g8_door_frames"] = with_views("", "bld_vertices", "bld_doors", "bld_storeys").rstrip() + AXIS_SQL + ", " + FRAMES_SQL + """
+SELECT id, level, x, y, z, width, open AS accessible, round(ax, 4) + 0.0 AS axis_x, round(ay, 4) + 0.0 AS axis_y, round(nx, 4) + 0.0 AS normal_x, round(ny, 4) + 0.0 AS normal_y FROM door"""
+
 
 RAMP_SQL = """SELECT CONCAT('V', CAST(element_id AS VARCHAR(20))) AS element_id, arg_min(x, (z, vseq)) AS sx, arg_min(y, (z, vseq)) AS sy, min(z) AS sz,
     arg_max(x, (z, -vseq)) AS ex, arg_max(y, (z, -vseq)) AS ey, max(z) AS ez FROM bld_vertices WHERE element_id % 8 >= 6 GROUP BY element_id HAVING max(z) - min(z) >= 0.15"""
@@ -446,6 +467,39 @@ def r3_distances_wheelchair(spark, sf_dir):
     return _distances(spark, sf_dir, True)
 
 
+def graph_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of bld_edges as if they stood somewhere: customers by their nation, the rest each by itself."""
+    edges = edge_rows(spark, sf_dir)
+    at = edges.where("startswith(u, 'C')").groupBy("model_id", c("u").alias("id")).agg(F.min("v").alias("level"))
+    rest = edges.select("model_id", F.explode(F.array("u", "v")).alias("id")).where("NOT startswith(id, 'C')").distinct()
+    number = F.substring("id", 2, 20).cast("long")
+    return at.unionByName(rest.withColumn("level", c("id"))).withColumns({"x": F.pmod(number, F.lit(64)).cast("double"), "y": F.floor(number / 64).cast("double")})
+
+
+@query(DIST_SQL.format(""), "bld_edges")
+def r3_overlay_distances(spark, sf_dir):
+    """As r3_distances, on an overlay of cells."""
+    start = spark.createDataFrame([(M, "C1")], "model_id string, node string")
+    found = overlay.overlay_distances(edge_rows(spark, sf_dir), start, overlay.cells(graph_places(spark, sf_dir), 256))
+    return found.select("node", r6(c("cost"), "cost"))
+
+
+PATHS_SQL = """SELECT node, CAST(pos AS BIGINT) AS pos, step FROM (
+  WITH RECURSIVE arcs AS (SELECT u AS a, v AS b, weight FROM bld_edges UNION ALL SELECT v, u, weight FROM bld_edges),
+  walk AS (SELECT 'C1' AS node, {'c': CAST(0 AS DOUBLE), 'h': 0, 'p': ''} AS s UNION ALL
+    SELECT b, min({'c': s.c + weight, 'h': s.h + 1, 'p': a}) FROM walk JOIN arcs ON a = node WHERE s.h < 9 GROUP BY b),
+  best AS MATERIALIZED (SELECT node, min(s) AS s FROM walk GROUP BY node),
+  path AS (SELECT node, node AS step, s.p AS before, s.h AS pos FROM best UNION ALL SELECT path.node, best.node, best.s.p, path.pos - 1 FROM path JOIN best ON best.node = path.before)
+  SELECT node, pos, step FROM path)"""
+
+
+@query(PATHS_SQL, "bld_edges")
+def j18_all_paths(spark, sf_dir):
+    """The path to every node, from what r3_distances found."""
+    start = spark.createDataFrame([(M, "C1")], "model_id string, node string")
+    return paths.path_steps(paths.distances(edge_rows(spark, sf_dir), start)).select("node", "pos", "step")
+
+
 def request_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From each nation to the region one further, both modes."""
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
@@ -534,10 +588,64 @@ def b8_graph_nodes(spark, sf_dir):
     return build_nodes(building(spark, sf_dir)).drop("model_id")
 
 
+#: All edges (a, b, their levels and places among the nodes, and the path) of the building, from those of its parts.
+EDGES_SQL = f""", {FRAMES_SQL},
+area AS MATERIALIZED (SELECT s.id, s.seq, s.lv, l.name AS level, l.elevation AS z, (min_x + max_x) / 2 AS x, (min_y + max_y) / 2 AS y, min_x, min_y, min_z, max_x, max_y, max_z, CASE WHEN s.seq % 3 = 0 THEN 2 ELSE 1 END AS stage
+  FROM bld_spaces s JOIN bld_storeys l ON s.lv = l.seq WHERE s.seq % 3 <> 0 OR s.id IN (SELECT id FROM ({free_slabs_sql('seq % 3 = 0 AND seq % 12 <> 0')}))),
+flight AS (SELECT concat('F', flight_id) AS id, flight_id AS seq, parent_id, sx, sy, sz, ex, ey, ez, 4 AS stage, FALSE AS flat FROM bld_flights),
+ramp AS (SELECT element_id AS id, CAST(substr(element_id, 2) AS BIGINT) AS seq, 0 AS parent_id, sx, sy, sz, ex, ey, ez, 7 AS stage, TRUE AS flat FROM ({RAMP_SQL})),
+run AS MATERIALIZED (SELECT *, {SNAPPED('name', 'sz')} AS level_s, {SNAPPED('name', 'ez')} AS level_e, {SNAPPED('elevation', 'sz')} AS elev_s, {SNAPPED('elevation', 'ez')} AS elev_e FROM (SELECT * FROM flight UNION ALL SELECT * FROM ramp)),
+fin AS MATERIALIZED (SELECT concat(id, '_START') AS id, stage, seq, 0 AS sub, level_s AS level, sx AS x, sy AS y, CASE WHEN flat THEN elev_s ELSE sz END AS z, elev_s AS probe, CASE WHEN flat THEN 0.40 ELSE 0.35 END AS reach FROM run
+  UNION ALL SELECT concat(id, '_END'), stage, seq, 1, level_e, ex, ey, CASE WHEN flat THEN elev_e ELSE ez END, elev_e, CASE WHEN flat THEN 0.40 ELSE 0.35 END FROM run),
+lift AS MATERIALIZED (SELECT element_id, x, y, string_split(levels, '|') AS levels FROM ({LIFTS_SQL})),
+stop AS MATERIALIZED (SELECT concat(element_id, '_', level) AS id, element_id, 8 AS stage, CAST(substr(element_id, 2) AS BIGINT) AS seq, pos AS sub, level, x, y, l.elevation AS z
+  FROM (SELECT element_id, x, y, unnest(levels) AS level, unnest(range(len(levels))) AS pos FROM lift) JOIN bld_storeys l ON l.name = level),
+da AS (SELECT d.id AS door, a.id AS area, row_number() OVER (PARTITION BY d.id ORDER BY CASE WHEN d.x BETWEEN a.min_x - 0.65 AND a.max_x + 0.65 AND d.y BETWEEN a.min_y - 0.65 AND a.max_y + 0.65 THEN 0.0
+    ELSE sqrt(pow(greatest(a.min_x - d.x, 0, d.x - a.max_x), 2) + pow(greatest(a.min_y - d.y, 0, d.y - a.max_y), 2)) END, a.stage, a.seq) AS k
+  FROM door d JOIN area a ON d.lv = a.lv AND (d.x BETWEEN a.min_x - 0.65 AND a.max_x + 0.65 AND d.y BETWEEN a.min_y - 0.65 AND a.max_y + 0.65
+    OR sqrt(pow(greatest(a.min_x - d.x, 0, d.x - a.max_x), 2) + pow(greatest(a.min_y - d.y, 0, d.y - a.max_y), 2)) <= 1.10)),
+ea AS (SELECT id, area FROM (SELECT f.id, a.id AS area, row_number() OVER (PARTITION BY f.id ORDER BY a.stage, a.seq) AS k FROM fin f JOIN area a ON a.level = f.level
+  AND f.x BETWEEN min_x - reach AND max_x + reach AND f.y BETWEEN min_y - reach AND max_y + reach AND probe BETWEEN min_z - reach AND max_z + reach) WHERE k = 1),
+ed AS (SELECT id, door FROM (SELECT f.id, d.id AS door, row_number() OVER (PARTITION BY f.id ORDER BY {dist('f.x', 'f.y', 'd.x', 'd.y')}, d.seq) AS k, {dist('f.x', 'f.y', 'd.x', 'd.y')} AS far
+  FROM fin f JOIN door d ON d.level = f.level WHERE f.id NOT IN (SELECT id FROM ea)) WHERE k = 1 AND far <= 3.0),
+ld AS (SELECT id, door FROM (SELECT s.id, d.id AS door, row_number() OVER (PARTITION BY s.id ORDER BY {dist('s.x', 's.y', 'd.x', 'd.y')}, d.seq) AS k, {dist('s.x', 's.y', 'd.x', 'd.y')} AS far FROM stop s JOIN door d ON d.level = s.level) WHERE k <= 2 AND far <= 3.0),
+la AS (SELECT id, area FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY far, stage, seq) AS k FROM (SELECT s.id, a.id AS area, a.stage, a.seq, sqrt(pow(greatest(min_x - s.x, 0, s.x - max_x), 2) + pow(greatest(min_y - s.y, 0, s.y - max_y), 2)) AS far
+  FROM stop s JOIN area a ON a.level = s.level WHERE s.id NOT IN (SELECT id FROM ld))) WHERE k = 1 AND far <= 2.5),
+near_flight AS (SELECT a.id AS f, b.id AS t FROM flight a JOIN flight b ON a.id <> b.id AND {dist('a.ex', 'a.ey', 'b.sx', 'b.sy')} <= 1.5 AND abs(a.ez - b.sz) <= 0.5),
+next_flight AS (SELECT f, t FROM (SELECT id AS f, lead(id) OVER (PARTITION BY parent_id ORDER BY sz, seq) AS t FROM flight) WHERE t IS NOT NULL),
+landing AS (SELECT f, t FROM next_flight UNION SELECT f, t FROM near_flight),
+spot AS MATERIALIZED (SELECT id, level, x, y, z, stage, seq, 0 AS sub FROM area UNION ALL SELECT id, level, x, y, z, 3, seq, 0 FROM door UNION ALL SELECT id, level, x, y, z, stage, seq, sub FROM fin UNION ALL SELECT id, level, x, y, z, stage, seq, sub FROM stop),
+-- From a door along its normal to (tx, ty); turned: the way back.
+bent AS (SELECT d.id AS a, t.id AS b, 'puerta_espacio' AS type, CASE WHEN open THEN 1.0 ELSE 999999.0 END AS weight, open, FALSE AS turned, d.z, d.x, d.y, t.x AS tx, t.y AS ty, (t.x - d.x) * nx + (t.y - d.y) * ny AS k, nx, ny FROM da JOIN door d ON d.id = da.door JOIN area t ON t.id = da.area WHERE da.k <= 2
+  UNION ALL SELECT t.id, d.id, 'vertical_puerta', 1.0, TRUE, TRUE, t.z, d.x, d.y, t.x, t.y, (t.x - d.x) * nx + (t.y - d.y) * ny, nx, ny FROM (SELECT * FROM ed UNION ALL SELECT * FROM ld) l JOIN door d ON d.id = l.door JOIN spot t ON t.id = l.id
+  UNION ALL SELECT t.id, a.id, 'vertical_espacio', 1.0, TRUE, FALSE, t.z, t.x, t.y, a.x, a.y, a.x - t.x, 1, 0 FROM (SELECT * FROM ea UNION ALL SELECT * FROM la) l JOIN spot t ON t.id = l.id JOIN area a ON a.id = l.area),
+corner AS (SELECT *, x + k * nx AS cx, y + k * ny AS cy FROM bent),
+path AS (SELECT a, b, type, weight, open, turned, CASE WHEN f1 AND f2 THEN [[x, y, z], [cx, cy, z], [tx, ty, z]] WHEN f1 THEN [[x, y, z], [cx, cy, z]] ELSE [[x, y, z], [tx, ty, z]] END AS p
+  FROM (SELECT *, {dist('cx', 'cy', 'x', 'y')} > 1e-6 AS f1, {dist('cx', 'cy', 'tx', 'ty')} > 1e-6 AS f2 FROM corner)),
+edge AS MATERIALIZED (SELECT a, b, type, weight, open, CASE WHEN turned THEN list_reverse(p) ELSE p END AS p FROM path
+  UNION ALL SELECT concat(id, '_START'), concat(id, '_END'), 'escalera', 999999.0, FALSE, [[sx, sy, sz], [ex, ey, ez]] FROM run WHERE NOT flat
+  UNION ALL SELECT concat(id, '_START'), concat(id, '_END'), 'rampa', 1.2, TRUE, [[sx, sy, elev_s], [ex, ey, elev_e]] FROM run WHERE flat
+  UNION ALL SELECT concat(f, '_END'), concat(t, '_START'), 'escalera_rellano', greatest(1.2 * {dist('a.ex', 'a.ey', 'b.sx', 'b.sy')}, 0.5), FALSE, [[a.ex, a.ey, a.ez], [b.sx, b.sy, b.sz]] FROM landing JOIN flight a ON a.id = f JOIN flight b ON b.id = t
+  UNION ALL SELECT below, id, 'ascensor', 1.0, TRUE, [[x, y, zb], [x, y, z]] FROM (SELECT *, lag(id) OVER w AS below, lag(z) OVER w AS zb FROM stop WINDOW w AS (PARTITION BY element_id ORDER BY sub)) WHERE below IS NOT NULL),
+whole AS MATERIALIZED (SELECT CASE WHEN (m.stage, m.seq, m.sub) < (n.stage, n.seq, n.sub) THEN a ELSE b END AS u, CASE WHEN (m.stage, m.seq, m.sub) < (n.stage, n.seq, n.sub) THEN b ELSE a END AS v, type, CAST(weight AS DOUBLE) AS weight, open,
+  CASE WHEN m.level = n.level THEN m.level ELSE concat(least(m.level, n.level), '|', greatest(m.level, n.level)) END AS levels, p FROM edge JOIN spot m ON m.id = a JOIN spot n ON n.id = b)"""
+WHOLE_SQL = with_views("", "bld_vertices", "bld_doors", "bld_storeys", "bld_spaces", "bld_flights", "bld_transport").rstrip() + AXIS_SQL + EDGES_SQL
+
+
+def point_columns(coords: str = "coords", at: int = 3) -> list[Column]:
+    """n_points, and x1 .. z3 of the first points."""
+    spot = lambda i, j: F.get(F.get(coords, F.lit(i)), F.lit(j))
+    return [F.size(coords).alias("n_points"), *(r6(spot(i, j), f"{k}{i + 1}") for i in range(at) for j, k in enumerate("xyz"))]
+
+
 @query()
 def b8_graph_edges(spark, sf_dir):
     made = build_graph(building(spark, sf_dir))
-    return payload.shown_edges(made.edges, made.nodes).drop("model_id")
+    shown = payload.shown_edges(made.edges, made.nodes)
+    return shown.select("u", "v", "type", "accessible", "levels", r6(c("weight"), "weight"), *point_columns())
+
+
+ORACLES["b8_graph_edges"] = WHOLE_SQL + " SELECT u, v, type, open AS accessible, levels, round(weight, 6) + 0.0 AS weight, len(p) AS n_points, " + ", ".join(f"round(p[{i}][{j}], 6) + 0.0 AS {k}{i}" for i in (1, 2, 3) for j, k in enumerate("xyz", 1)) + " FROM whole"
 
 
 @query()
@@ -546,6 +654,10 @@ def a12_summary(spark, sf_dir):
     return graph.summary(made.nodes, made.edges).drop("model_id")
 
 
+ORACLES["a12_summary"] = WHOLE_SQL + """ SELECT CASE stage WHEN 1 THEN 'areas' WHEN 2 THEN 'areas' WHEN 3 THEN 'puerta' WHEN 4 THEN 'escalera' WHEN 7 THEN 'rampa' ELSE 'ascensor' END AS what,
+  count(DISTINCT CASE WHEN stage > 3 THEN regexp_replace(id, '_[^_]*$', '') ELSE id END) AS n FROM spot GROUP BY 1 UNION ALL SELECT 'nodes', count(*) FROM spot UNION ALL SELECT 'edges', count(*) FROM whole"""
+
+
 @query()
 def p11_floor_plans(spark, sf_dir):
     made = view_outlines(spark, sf_dir)
@@ -571,9 +683,24 @@ ORACLES["p13_outline_layer"] = f"SELECT level, 'PlantaBase' AS tipo, x, y, x2, y
 
 @query()
 def r3_route_through_building(spark, sf_dir):
-    """From the first to the second room of the lowest storey, both modes, in the whole graph."""
+    """From the foot of every flight to the head of the last one, every other one by wheelchair, in the whole graph."""
     made = build_graph(building(spark, sf_dir))
-    ends = made.edges.where("edge_type = 'puerta_espacio'").agg(F.min("u").alias("a"), F.max("u").alias("b"))
-    asked = ends.select(F.lit(M).alias("model_id"), F.explode(F.array(F.lit(False), F.lit(True))).alias("wheelchair"), c("a").alias("origin"), c("b").alias("destination"))
-    asked = asked.withColumn("request_id", c("wheelchair").cast("long"))
-    return route_responses(paths.routes(asked, made.nodes, made.edges), made.nodes).drop("model_id", "path_nodes")
+    flights = view(spark, sf_dir, "bld_flights")
+    last = flights.agg(F.concat(F.lit("F"), F.max("flight_id").cast("string"), F.lit("_END")).alias("destination"))
+    asked = flights.select("model_id", c("flight_id").alias("request_id"), F.concat(F.lit("F"), c("flight_id").cast("string"), F.lit("_START")).alias("origin"), (c("flight_id") % 2 == 1).alias("wheelchair")).join(F.broadcast(last))
+    found = paths.routes(asked, made.nodes, made.edges)
+    return found.select("request_id", "status", F.coalesce(F.try_element_at("path", F.lit(1)), F.lit("")).alias("starts"), F.coalesce(F.try_element_at("path", F.lit(-1)), F.lit("")).alias("ends"), r6(c("total_weight"), "total_weight"))
+
+
+#: Edges have no direction, so the ways from the last flight's head are those that were asked for.
+ORACLES["r3_route_through_building"] = WHOLE_SQL + """, goal AS (SELECT concat('F', max(flight_id), '_END') AS id FROM bld_flights),
+found AS MATERIALIZED (SELECT by_chair, node, min(cost) AS cost FROM (WITH RECURSIVE arcs AS MATERIALIZED (SELECT u AS x, v AS y, weight, open FROM whole UNION ALL SELECT v, u, weight, open FROM whole),
+  walk AS (SELECT unnest([FALSE, TRUE]) AS by_chair, id AS node, CAST(0 AS DOUBLE) AS cost, 0 AS hops FROM goal
+    UNION ALL SELECT by_chair, y, min(cost + weight), max(hops) + 1 FROM walk JOIN arcs ON x = node AND (open OR NOT by_chair) WHERE hops < 120 GROUP BY by_chair, y) SELECT * FROM walk) GROUP BY by_chair, node)
+SELECT CAST(flight_id AS BIGINT) AS request_id, CASE WHEN cost IS NULL THEN 'no_route' ELSE 'found' END AS status, CASE WHEN cost IS NULL THEN '' ELSE concat('F', flight_id, '_START') END AS starts,
+  CASE WHEN cost IS NULL THEN '' ELSE goal.id END AS ends, round(cost, 6) + 0.0 AS total_weight
+FROM bld_flights CROSS JOIN goal LEFT JOIN found ON found.node = concat('F', flight_id, '_START') AND found.by_chair = (flight_id % 2 = 1)"""
+
+
+QUERIES |= models.QUERIES
+ORACLES |= models.ORACLES

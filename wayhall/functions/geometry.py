@@ -14,8 +14,15 @@ def point(x: Column, y: Column, z: Column | None = None) -> Column:
 
 
 def half_even(v: Column, digits: int) -> Column:
-    """v to so many digits, from its exact binary value, ties to the even digit. Spark's own functions round what is printed."""
-    return F.call_function("format_number", v, F.lit("0." + "#" * digits)).cast("double")
+    """v to so many digits, from its exact binary value, ties to the even digit. Spark's own functions round what is printed.
+
+    Only values that a product can't tell from a tie, and very large ones, are formatted. What has no digits to round, such
+    as infinity, stays as it is.
+    """
+    scaled = v * 10.0**digits
+    clear = (F.abs(scaled) < 2.0**40) & (F.abs(scaled - F.floor(scaled) - 0.5) > 1e-3)
+    exact = F.call_function("format_number", v, F.lit("0." + "#" * digits)).cast("double")
+    return F.when(~(F.abs(v) < 2.0**52), v).when(clear, F.rint(scaled) / 10.0**digits).otherwise(exact)
 
 
 def distance_2d(ax: Column, ay: Column, bx: Column, by: Column) -> Column:

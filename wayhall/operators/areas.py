@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wayhall.functions.geometry import in_box_3d
 from wayhall.functions.text import NOT_FLOOR_TYPES, or_default, type_name
 from wayhall.operators.base import KEY, ordinal
-from wayhall.plans.ordered import refused
+from wayhall.plans.ordered import cells_of, refused
 from wayhall.plans.spatial import near_boxes, nearest_storey
 from wayhall.schema import ROOM, ROOM_NAME, SLAB, SLAB_NAME
 from wayhall.sources.tables import scan
@@ -42,7 +42,7 @@ def free_slabs(slabs: DataFrame, rooms: DataFrame) -> DataFrame:
     outside = slabs.join(_inside(slabs, rooms).select(*KEY).distinct(), KEY, "left_anti")
     pairs = _inside(outside, outside).where("box_seq < seq")
     key = lambda e: F.struct("model_id", F.col(e).alias("element_id"))
-    out = refused(pairs.select(key("box_id").alias("earlier"), key("element_id").alias("later")))
+    out = refused(pairs.select(key("box_id").alias("earlier"), key("element_id").alias("later")), cells_of(outside, "cx", "cy"))
     return outside.join(out.select("item.*"), KEY, "left_anti")
 
 

@@ -9,7 +9,7 @@ from wayhall.functions.geometry import box_distance_2d, distance_2d, point, stra
 from wayhall.functions.text import NOT_LIFT_TYPES, is_lift_by_text, type_name
 from wayhall.operators.base import KEY, first_scan, ordinal
 from wayhall.operators.verticals import DOOR_REACH, _edge, to_area_edges, to_door_edges
-from wayhall.plans.ordered import leaders
+from wayhall.plans.ordered import cells_of, leaders
 from wayhall.plans.spatial import first_k, first_of, near_boxes, near_points, touched_storeys
 from wayhall.schema import LIFT, LIFT_EDGE, LIFT_NAME
 from wayhall.sources.tables import scan
@@ -46,7 +46,7 @@ def shafts(cabins: DataFrame) -> DataFrame:
     spots = cabins.select(*KEY, F.col("seq").alias("order"), F.col("cx").alias("x"), F.col("cy").alias("y"))
     near = near_points(spots, spots, ["model_id"], SHAFT).where((F.col("r_order") < F.col("order")) & (distance_2d(F.col("x"), F.col("y"), F.col("r_x"), F.col("r_y")) <= SHAFT))
     key = lambda e: F.struct("model_id", F.col(e).alias("element_id"))
-    found = leaders(spots.select(key("element_id").alias("item"), "order"), near.select(key("r_element_id").alias("earlier"), key("element_id").alias("later")))
+    found = leaders(spots.select(key("element_id").alias("item"), "order"), near.select(key("r_element_id").alias("earlier"), key("element_id").alias("later")), cells_of(cabins, "cx", "cy"))
     return found.select("item.model_id", "item.element_id", F.col("leader.element_id").alias("leader"))
 
 

@@ -1,19 +1,35 @@
-"""Lineage cuts of iterative plans."""
+"""Lineage cuts of iterative plans, and tables written for those that read them often."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed and read from the folder that spark.checkpoint.dir names; where none is, a folder of our own in local mode, an error on a cluster."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where none is, a folder of our own in local mode, an error on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found and sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="wayhall-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed and read from folder()."""
+    folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """df as a Parquet table in folder(), in partitions by the columns, deleted when the driver ends."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,40 +1,101 @@
-"""Greedy passes in scan order, without a sequential pass.
+"""Greedy passes in scan order, over parts of the items at once.
 
 A pass that accepts an item unless an earlier accepted item stands against it has one result, whichever way it is
 computed: an item is accepted once all earlier items against it are refused, and refused once one of them is accepted.
-Each round settles all items of which that is known, over the whole table; the number of rounds is the longest chain of
-items that stand against each other, not their number.
+Items are dealt to cells, of neighbours where the caller knows places. In each round every cell settles, by itself, all that
+follows from what is known of items outside of it; what is settled is told to the cells that wait for it. So the rounds are
+the most cells that a chain of items which stand against each other passes through, not the items of the chain.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayhall.plans.checkpoint import cut
+from wayhall.plans.overlay import cells
+
+#: Items of a cell, and conflicts where cells are dealt by hash, at most.
+ITEMS, CONFLICTS = 1 << 16, 1 << 18
+
+
+def cells_of(items: DataFrame, x: str = "x", y: str = "y", most: int = ITEMS) -> DataFrame:
+    """item, cell of items (model_id, element_id and a place); the item is a struct of model_id and element_id."""
+    dealt = cells(items.select("model_id", F.col("element_id").alias("id"), F.col(x).alias("x"), F.col(y).alias("y")), most)
+    return dealt.select(F.struct("model_id", F.col("node").alias("element_id")).alias("item"), F.concat_ws("\n", "model_id", "cell").alias("cell"))
+
 
+def _settled(waiting: DataFrame) -> DataFrame:
+    """item, kept: what follows in each cell. waiting has cell, earlier, later and known, whether earlier is kept if that is known."""
+    kind = waiting.schema["later"].dataType.simpleString()
 
-def refused(conflicts: DataFrame) -> DataFrame:
-    """item: those refused. conflicts has rows (earlier, later): earlier stands against later if it is accepted."""
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        name = {}
+        number = lambda text: name.setdefault(text, len(name))
+        earlier, later = ([number(t) for t in rows.column(c).to_pylist()] for c in ("earlier_key", "later_key"))
+        against, open_, at, state = defaultdict(list), defaultdict(int), {}, {}
+        for i, (a, b, known) in enumerate(zip(earlier, later, rows.column("known").to_pylist(), strict=True)):
+            at[b] = i
+            if known is None:
+                against[a].append(b)
+                open_[b] += 1
+            elif known:
+                state[b] = False
+        queue = list(state) + [b for b in at if b not in state and not open_[b]]
+        for b in queue:
+            state.setdefault(b, True)
+        while queue:
+            a = queue.pop()
+            for b in against[a]:
+                if b in state:
+                    continue
+                open_[b] -= 1
+                if state[a] or not open_[b]:
+                    state[b] = not state[a]
+                    queue.append(b)
+        found = list(state)
+        items = rows.column("later").combine_chunks().take(pa.array([at[b] for b in found], pa.int64()))
+        return pa.table({"item": items, "kept": pa.array([state[b] for b in found], pa.bool_())})
+
+    told = waiting.select("cell", "earlier", "later", "known", *(F.to_json(F.struct(c)).alias(f"{c}_key") for c in ("earlier", "later")))
+    return told.drop("earlier").groupBy("cell").applyInArrow(run, f"item {kind}, kept boolean")
+
+
+def refused(conflicts: DataFrame, item_cells: DataFrame | None = None) -> DataFrame:
+    """item: those refused. conflicts has rows (earlier, later): earlier stands against later if it is accepted.
+
+    item_cells (item, cell) says how items are dealt; without it they are dealt by hash, all to one cell if conflicts are few.
+    """
     edges = cut(conflicts.select("earlier", "later").distinct())
-    out = None
-    while not edges.isEmpty():
-        settled = edges.select(F.col("earlier").alias("item")).distinct().join(edges.select(F.col("later").alias("item")).distinct(), "item", "left_anti")
-        gone = cut(edges.join(settled, edges.earlier == settled.item, "left_semi").select(F.col("later").alias("item")).distinct())
+    if item_cells is None:
+        slots = edges.count() // CONFLICTS + 1
+        edges = edges.withColumn("cell", F.pmod(F.xxhash64("later"), F.lit(slots)).cast("string"))
+    else:
+        edges = edges.join(item_cells.select(F.col("item").alias("later"), "cell"), "later")
+    later = edges.select(F.col("later").alias("earlier"), F.lit(True).alias("told")).distinct()
+    waiting = edges.join(later, "earlier", "left").select("cell", "earlier", "later", F.when(F.col("told").isNull(), F.lit(True)).alias("known"))
+    waiting, out = cut(waiting), None
+    while not waiting.isEmpty():
+        settled = cut(_settled(waiting))
+        gone = settled.where("NOT kept").select("item")
         out = gone if out is None else out.unionByName(gone)
-        left = edges.join(settled, edges.earlier == settled.item, "left_anti")
-        left = left.join(gone, left.later == gone.item, "left_anti")
-        edges = cut(left.join(gone, left.earlier == gone.item, "left_anti"))
+        left = waiting.join(settled.select(F.col("item").alias("later")), "later", "left_anti")
+        told = left.join(settled.select(F.col("item").alias("earlier"), "kept"), "earlier", "left")
+        waiting = cut(told.select("cell", "earlier", "later", F.coalesce("known", "kept").alias("known")))
     return out if out is not None else edges.select(F.col("earlier").alias("item"))
 
 
-def leaders(items: DataFrame, near: DataFrame) -> DataFrame:
+def leaders(items: DataFrame, near: DataFrame, item_cells: DataFrame | None = None) -> DataFrame:
     """item, leader: each item's cluster when, in order, an item joins the first cluster whose leader is near it.
 
-    items has item and order; near has rows (earlier, later) of items near each other, earlier before later.
+    items has item and order; near has rows (earlier, later) of items near each other, earlier before later. item_cells
+    as for refused().
     """
     near = cut(near.select("earlier", "later").distinct())
-    not_leading = refused(near)
+    not_leading = refused(near, item_cells)
     own = items.join(not_leading, "item", "left_anti").select("item", "order")
     first = (
         near.join(not_leading, near.later == not_leading.item, "left_semi")

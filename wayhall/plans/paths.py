@@ -1,96 +1,82 @@
-"""Shortest paths: a fixpoint over tables for one source, and whole requests by model for many."""
+"""Shortest paths: from a source to all nodes, the paths themselves, and batches of requests.
 
-from __future__ import annotations
+Of ways of equal cost the one of the fewest edges counts, then the one whose last node but one is the smallest, and so on
+backwards. routes() keeps to it inside a cell of its overlay; between cells it compares the overlay's nodes alone, so where
+several ways have the same cost and as many edges it may name another one than distances() does.
+"""
 
-import heapq
-from collections import defaultdict
+from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayhall.plans.chains import steps_back
 from wayhall.plans.checkpoint import cut
+from wayhall.plans.overlay import CELL, Overlay, arcs_both_ways, cells, spread
 
 ROUTES = "model_id string, request_id long, origin string, destination string, wheelchair boolean, status string, path array<string>, total_weight double"
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    """model_id, src, dst, weight: each undirected edge in both directions."""
-    return edges.select("model_id", F.explode(F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst")))).alias("e"), "weight").select("model_id", "e.*", "weight")
-
-
 def distances(edges: DataFrame, sources: DataFrame, target: DataFrame | None = None) -> DataFrame:
     """model_id, node, cost, hops, before: the cheapest way to each reachable node from its model's source.
 
-    sources has model_id and node. Each round relaxes the edges of all nodes that got cheaper in the round before. Ties go
-    to fewer hops, then to the smaller node before. With target (model_id, node), ways dearer than the best one to the
-    target are dropped; weights must not be negative.
+    sources has model_id and node. With target (model_id, node), ways dearer than the best one to the target are dropped;
+    weights must not be negative. Rounds are the edges of the longest way; for a large model see overlay_distances().
     """
-    arcs = cut(both_ways(edges))
-    best = F.struct("cost", "hops", "before")
-    known = cut(sources.select("model_id", "node", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit("").alias("before")))
-    front = known
-    while not front.isEmpty():
-        reached = front.join(arcs, (front.model_id == arcs.model_id) & (front.node == arcs.src)).select(
-            front.model_id, F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("before")
-        )
-        reached = reached.groupBy("model_id", "node").agg(F.min(best).alias("new")).join(
-            known.select("model_id", "node", best.alias("old")), ["model_id", "node"], "left"
-        ).where(F.col("old").isNull() | (F.col("new") < F.col("old")))
-        if target is not None:
-            limit = known.join(target, ["model_id", "node"], "left_semi").select("model_id", F.col("cost").alias("limit"))
-            reached = reached.join(limit, "model_id", "left").where(F.col("limit").isNull() | (F.col("new.cost") <= F.col("limit"))).drop("limit")
-        front = cut(reached.select("model_id", "node", "new.*"))
-        known = cut(known.unionByName(front).groupBy("model_id", "node").agg(F.min(best).alias("b")).select("model_id", "node", "b.*"))
-    return known
-
-
-def shortest(adjacent: dict[str, list[tuple[str, float]]], origin: str, destination: str) -> tuple[list[str], float] | None:
-    """Path and cost; of equal costs the fewest nodes, then the first in order. None if there is no way."""
-    heap: list[tuple[float, int, tuple[str, ...]]] = [(0.0, 0, (origin,))]
-    done: set[str] = set()
-    while heap:
-        cost, hops, path = heapq.heappop(heap)
-        at = path[-1]
-        if at in done:
-            continue
-        if at == destination:
-            return list(path), cost
-        done.add(at)
-        for to, w in adjacent.get(at, ()):
-            if to not in done:
-                heapq.heappush(heap, (cost + w, hops + 1, (*path, to)))
-    return None
-
-
-def routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row for each request (model_id, request_id, origin, destination, wheelchair), columns ROUTES.
+    arcs = cut(arcs_both_ways(edges).select("model_id", "src", "dst", "weight", F.lit(1).cast("long").alias("hops")))
+    return spread(arcs, sources, ["model_id"], [], target)
+
+
+def path_steps(found: DataFrame, targets: DataFrame | None = None, on: tuple[str, ...] = ("model_id",)) -> DataFrame:
+    """on, node, pos, step: the path to each node of found, or to each of targets (on, node), from the source at pos 0.
 
-    status is found, no_route, unknown_model, unknown_origin or unknown_destination. A model's graph goes to one task
-    with its requests: a building is small, and models are many. For one graph too large for that use distances().
+    found has on, node and before. Paths are read back by doubling, in rounds of the logarithm of the longest.
     """
+    on = list(on)
+    back = cut(steps_back(found, on, targets))
+    whole = back.groupBy(*on, "node").agg(F.max("back").alias("last"))
+    return back.join(whole, [*on, "node"]).select(*on, "node", (F.col("last") - F.col("back")).alias("pos"), "step")
 
-    def run(key: tuple, asked: pa.Table, graph: pa.Table) -> pa.Table:
-        ids, free, open_ = set(), defaultdict(list), defaultdict(list)
-        for r in graph.to_pylist():
-            if r["v"] is None:
-                ids.add(r["u"])
-                continue
-            for a, b in ((r["u"], r["v"]), (r["v"], r["u"])):
-                free[a].append((b, r["weight"]))
-                if r["accessible"]:
-                    open_[a].append((b, r["weight"]))
-        out = []
-        for r in asked.to_pylist():
-            bad = "unknown_model" if not ids else "unknown_origin" if r["origin"] not in ids else "unknown_destination" if r["destination"] not in ids else None
-            found = None if bad else shortest(open_ if r["wheelchair"] else free, r["origin"], r["destination"])
-            out.append(r | {"status": bad or ("found" if found else "no_route"), "path": found[0] if found else [], "total_weight": found[1] if found else None})
-        return pa.Table.from_pylist(out, schema=pa.schema(kinds))
-
-    kinds = [("model_id", pa.string()), ("request_id", pa.int64()), ("origin", pa.string()), ("destination", pa.string()), ("wheelchair", pa.bool_()), ("status", pa.string()), ("path", pa.list_(pa.string())), ("total_weight", pa.float64())]
-    graph = edges.select("model_id", "u", "v", "weight", F.coalesce("accessible", F.lit(True)).alias("accessible")).unionByName(
-        nodes.select("model_id", F.col("id").alias("u")), allowMissingColumns=True
-    )
-    graph = graph.join(requests.select("model_id").distinct(), "model_id", "left_semi")
-    asked = requests.select("model_id", F.col("request_id").cast("long"), "origin", "destination", F.coalesce("wheelchair", F.lit(False)).alias("wheelchair"))
-    return asked.groupBy("model_id").cogroup(graph.groupBy("model_id")).applyInArrow(run, ROUTES)
+
+def _checked(requests: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Requests with the status that they have before a search: null if all they name is there."""
+    known = nodes.select("model_id", "id").distinct()
+    models = known.select("model_id").distinct().withColumn("has_model", F.lit(True))
+    end = lambda name: known.select("model_id", F.col("id").alias(name), F.lit(True).alias(f"has_{name}"))
+    asked = requests.select("model_id", F.col("request_id").cast("long").alias("request_id"), "origin", "destination", F.coalesce("wheelchair", F.lit(False)).alias("wheelchair"))
+    asked = asked.join(models, "model_id", "left").join(end("origin"), ["model_id", "origin"], "left").join(end("destination"), ["model_id", "destination"], "left")
+    bad = [F.when(F.col(f"has_{k}").isNull(), F.lit(f"unknown_{k}")) for k in ("model", "origin", "destination")]
+    return asked.withColumn("status", F.coalesce(*bad)).drop("has_model", "has_origin", "has_destination")
+
+
+def routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, node_cells: DataFrame | None = None, most: int = CELL) -> DataFrame:
+    """One row for each request (model_id, request_id, origin, destination, wheelchair), columns ROUTES.
+
+    status is found, no_route, unknown_model, unknown_origin or unknown_destination. All requests on all models are searched
+    at once on the models' overlays; the wheelchair flag is part of the key. node_cells (model_id, node, cell) says how
+    nodes are dealt; without it they are dealt by place, about most to a cell.
+    """
+    asked = cut(_checked(requests, nodes))
+    valid = asked.where("status IS NULL")
+    ids = valid.select("model_id").distinct()
+    mine = lambda df: df.join(ids, "model_id", "left_semi")
+    node_cells = cut(mine(node_cells) if node_cells is not None else cells(mine(nodes), most))
+    end = lambda c: valid.select("model_id", F.col(c).alias("node"))
+    made = Overlay(mine(edges), node_cells, end("origin"), end("destination"))
+    key = ["model_id", "wheelchair", "request_id"]
+    start, goal = (valid.select(*key, F.col(c).alias("node")) for c in ("origin", "destination"))
+    found = made.search(start, ["request_id"], goal)
+    hit = cut(found.join(goal, [*key, "node"], "left_semi").select(*key, "node", F.col("cost").alias("total_weight")))
+    over = path_steps(found, hit.select(*key, "node"), tuple(key))
+    # From one node of the overlay to the next: an edge between cells, or a way inside a cell.
+    at = node_cells.select("model_id", F.col("node").alias("step"), "cell")
+    legs = over.join(at, ["model_id", "step"])
+    before = legs.select(*key, (F.col("pos") + 1).alias("pos"), F.col("step").alias("src"), F.col("cell").alias("src_cell"))
+    legs = cut(legs.join(before, [*key, "pos"], "left"))
+    within = legs.where("src IS NOT NULL AND src_cell = cell").select("model_id", "wheelchair", "cell", "src", F.col("step").alias("dst")).distinct()
+    ways = made.inside(within).withColumnRenamed("dst", "step")
+    whole = legs.join(ways, ["model_id", "wheelchair", "src", "step"], "left").withColumn("way", F.coalesce("way", F.array("step")))
+    path = whole.groupBy(*key).agg(F.flatten(F.array_sort(F.collect_list(F.struct("pos", "way")))["way"]).alias("path"))
+    out = asked.join(hit.drop("node").join(path, key), key, "left")
+    status = F.coalesce("status", F.when(F.col("path").isNotNull(), F.lit("found")), F.lit("no_route"))
+    return out.select("model_id", "request_id", "origin", "destination", "wheelchair", status.alias("status"), F.coalesce("path", F.array().cast("array<string>")).alias("path"), "total_weight")
