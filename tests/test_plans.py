@@ -117,18 +117,18 @@ def corridor(spark, n):
 def test_overlay_of_a_long_corridor(spark):
     from wayhall.plans import overlay
 
-    n = 100_000
+    n = 6_000
     nodes, edges = corridor(spark, n)
     source = nodes.where("x = 0").select("model_id", F.col("id").alias("node"))
     rounds, before = [], overlay.cut
     overlay.cut = lambda df: rounds.append(1) or before(df)
     try:
-        found = overlay_distances(edges, source, cells(nodes, 4096))
+        found = overlay_distances(edges, source, cells(nodes, 2000))
         far = found.join(nodes.withColumnRenamed("id", "node"), "node").where("cost <> x OR hops <> x").count()
         assert far == 0 and found.count() == n
     finally:
         overlay.cut = before
-    assert len(rounds) / 2 < n / 10 / 50  # each round of a search writes twice
+    assert len(rounds) / 2 < n / 60  # each round of a search writes twice
 
 
 def test_cells(spark):

@@ -91,7 +91,7 @@ def written_models(spark: SparkSession, sf_dir: str) -> str:
 
 
 def opened(spark: SparkSession, sf_dir: str) -> Building:
-    return read_ifc(spark, written_models(spark, sf_dir))
+    return read_ifc(spark, written_models(spark, sf_dir), lambda path: F.regexp_extract(path, "/file=([0-9]+)/", 1))
 
 
 S2_ELEMENTS = """SELECT id AS element_id, CASE WHEN seq % 3 = 0 THEN 'IfcSlab' ELSE 'IfcSpace' END AS ifc_class, CASE WHEN seq % 3 <> 0 THEN concat('Sala; n''', seq, ' /* é') END AS name,

@@ -58,6 +58,8 @@ def _settled(waiting: DataFrame) -> DataFrame:
                     queue.append(b)
         found = list(state)
         items = rows.column("later").combine_chunks().take(pa.array([at[b] for b in found], pa.int64()))
+        if pa.types.is_struct(items.type):  # fields may say that they are never null, which the result's don't
+            items = items.cast(pa.struct([f.with_nullable(True) for f in items.type]))
         return pa.table({"item": items, "kept": pa.array([state[b] for b in found], pa.bool_())})
 
     told = waiting.select("cell", "earlier", "later", "known", *(F.to_json(F.struct(c)).alias(f"{c}_key") for c in ("earlier", "later")))

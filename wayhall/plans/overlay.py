@@ -89,6 +89,11 @@ def _columns(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.Tabl
     return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds)})
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """df with columns of their own, to be grouped beside one that it came from."""
+    return df.select(*(F.col(c).alias(c) for c in df.columns))
+
+
 TEXT, NUMBER, COUNT, FLAG = pa.string(), pa.float64(), pa.int64(), pa.bool_()
 
 
@@ -164,7 +169,7 @@ class Overlay:
             return _columns(out, kinds)
 
         own = self.inner.select("model_id", "cell", "src", "dst", "weight", "accessible").groupBy("model_id", "cell")
-        return own.cogroup(roles.groupBy("model_id", "cell")).applyInArrow(run, "model_id string, wheelchair boolean, src string, dst string, weight double, hops long")
+        return own.cogroup(_apart(roles).groupBy("model_id", "cell")).applyInArrow(run, "model_id string, wheelchair boolean, src string, dst string, weight double, hops long")
 
     def search(self, sources: DataFrame, own: list[str], target: DataFrame | None = None) -> DataFrame:
         """spread() over the overlay; sources and target have model_id, wheelchair, own and node."""
@@ -188,7 +193,7 @@ class Overlay:
             return _columns(out, kinds)
 
         own = self.inner.select("model_id", "cell", "src", "dst", "weight", "accessible").groupBy("model_id", "cell")
-        return own.cogroup(pairs.groupBy("model_id", "cell")).applyInArrow(run, "model_id string, wheelchair boolean, src string, dst string, way array<string>")
+        return own.cogroup(_apart(pairs).groupBy("model_id", "cell")).applyInArrow(run, "model_id string, wheelchair boolean, src string, dst string, way array<string>")
 
     def filled(self, found: DataFrame, node_cells: DataFrame, own: list[str]) -> DataFrame:
         """model_id, wheelchair, own, node, cost, hops, before of all nodes, from what search() found without a target."""
@@ -208,7 +213,7 @@ class Overlay:
 
         schema = ", ".join([*(f"{c} {kinds[c]}" for c in key), "node string, cost double, hops long, before string"])
         inner = self.inner.select("model_id", "cell", "src", "dst", "weight", "accessible").groupBy("model_id", "cell")
-        return inner.cogroup(seeds.select(*key, "cell", "node", *BEST).groupBy("model_id", "cell")).applyInArrow(run, schema)
+        return inner.cogroup(_apart(seeds.select(*key, "cell", "node", *BEST)).groupBy("model_id", "cell")).applyInArrow(run, schema)
 
 
 def overlay_distances(edges: DataFrame, sources: DataFrame, node_cells: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -118,21 +120,21 @@ def model_names(path: Column) -> Column:
     return F.regexp_replace(F.url_decode(F.replace(F.regexp_extract(path, r"([^/]*)$", 1), F.lit("+"), F.lit("%2B"))), r"\.[^.]*$", "")
 
 
-def read_ifc(spark: SparkSession, path: str) -> Building:
-    """The building tables of the IFC files below path; model_id is a file's name without its suffix.
+def read_ifc(spark: SparkSession, path: str, name: Callable[[Column], Column] = model_names) -> Building:
+    """The building tables of the IFC files below path; model_id is what name makes of a file's path, by default its name.
 
     Each file is read in byte ranges and no file goes through one task; its instances are written once, by type, in the
     folder of spark.checkpoint.dir. Vertices are in the world and in metres: extruded solids of rectangles, circles (as
     32 corners), polylines and indexed curves; faceted solids and surfaces, triangulated and polygonal face sets, mapped
     items. Solids that are cut are taken before the cut. Elements without such a shape have no vertices. Two files of one
-    name in different folders raise ValueError; no file at all gives empty tables.
+    model_id raise ValueError; no file at all gives empty tables.
     """
     stated = statements(spark, path)
     headers = cut(schemas(stated))
     if headers.count() <= BROADCAST_ROWS:
         headers = F.broadcast(headers)
     found = instances(stated, [*_upper(CLASSES + NAMED + RELATIONS), *SHAPE_TYPES]).join(headers, "path", "left")
-    inst = written(found.withColumn("model_id", model_names(F.col("path"))), "type")
+    inst = written(found.withColumn("model_id", name(F.col("path"))), "type")
     twice = inst.groupBy("model_id").agg(F.count_distinct("path").alias("n")).where("n > 1").select("model_id").limit(1).collect()
     if twice:
         raise ValueError(f"several files are called {twice[0][0]}")
