@@ -9,7 +9,7 @@ from tests.micro import M, building
 from wayhall.api import Graph, build_graph, route
 from wayhall.operators.graph import summary, usable_edges
 from wayhall.sinks.export import export_geopackage, layers
-from wayhall.sinks.payload import shown_edges, shown_nodes, upload_responses
+from wayhall.sinks.payload import shown_edges, shown_nodes, upload_responses, write_responses
 
 
 @pytest.fixture(scope="module")
@@ -108,6 +108,10 @@ def test_payloads_and_export(made, spark, tmp_path):
     body = json.loads(upload_responses(made, spark.createDataFrame([(M, "casa.ifc")], "model_id string, file string")).first()["response"])
     assert body["storeys"] == ["P0", "P1", "P2"] and body["filename"] == "casa.ifc" and len(body["nodes"]) == len(shown)
     assert set(body["floorplans"]) == {"P0", "P1", "Otro"}
+    write_responses(made, spark.createDataFrame([(M, "casa.ifc"), ("none", "a \"b\".ifc")], "model_id string, file string"), str(tmp_path / "bodies"), 7)
+    read = lambda m: json.loads("".join(p.read_text() for p in sorted((tmp_path / f"bodies/model_id={m}").glob("part-*"))))
+    assert read(M) == body and len(list((tmp_path / f"bodies/model_id={M}").glob("part-*"))) > 3
+    assert read("none") == {"session_id": "none", "filename": 'a "b".ifc', "storeys": [], "nodes": [], "edges": [], "floorplans": {}}
     counts = {r["what"]: r["n"] for r in summary(made.nodes, made.edges).collect()}
     assert (counts["areas"], counts["puerta"], counts["escalera"], counts["rampa"], counts["ascensor"]) == (7, 4, 3, 1, 3)
     path = export_geopackage(made, M, "casa", str(tmp_path))

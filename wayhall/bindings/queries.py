@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayhall.api import build_graph, build_nodes, route_responses
-from wayhall.bindings import models
+from wayhall.bindings import details, models
 from wayhall.bindings.views import M, TRANSPORT_HEIGHT, VIEWS, building, vertices, view, with_views
 from wayhall.functions.text import is_lift_by_text
 from wayhall.operators import areas, base, doors, graph, lifts, outline, verticals
@@ -702,5 +702,5 @@ SELECT CAST(flight_id AS BIGINT) AS request_id, CASE WHEN cost IS NULL THEN 'no_
 FROM bld_flights CROSS JOIN goal LEFT JOIN found ON found.node = concat('F', flight_id, '_START') AND found.by_chair = (flight_id % 2 = 1)"""
 
 
-QUERIES |= models.QUERIES
-ORACLES |= models.ORACLES
+QUERIES |= models.QUERIES | details.QUERIES
+ORACLES |= models.ORACLES | details.ORACLES

@@ -43,13 +43,21 @@ def cells(nodes: DataFrame, most: int = CELL) -> DataFrame:
     for c, kind in (("level", "string"), ("x", "double"), ("y", "double")):
         nodes = nodes if c in nodes.columns else nodes.withColumn(c, F.lit(None).cast(kind))
     place = nodes.select("model_id", F.col("id").alias("node"), F.coalesce("level", F.lit("")).alias("level"), *(F.when(F.abs(c) < 1e15, F.col(c)).otherwise(0.0).alias(c) for c in "xy"))
+    place = place.join(place.groupBy("model_id").agg(F.count(F.lit(1)).alias("total")), "model_id")
+    whole = place.where(F.col("total") <= most).select("model_id", "node", F.lit("").alias("cell"))
+    place = place.where(F.col("total") > most).drop("total")
+    return whole if place.isEmpty() else whole.unionByName(_tiles(place, most))
+
+
+def _tiles(place: DataFrame, most: int) -> DataFrame:
+    """cells() of models of more than most nodes: model_id, node, level, x, y."""
     spans = place.groupBy("model_id", "level").agg(*(f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("min", F.min), ("max", F.max))))
     unit = lambda c: F.least(F.floor((F.col(c) - F.col(f"min_{c}")) / F.greatest(F.col(f"max_{c}") - F.col(f"min_{c}"), F.lit(1e-9)) * (1 << DEPTH)), F.lit((1 << DEPTH) - 1)).cast("long")
     spots = place.join(spans, ["model_id", "level"]).select("model_id", "node", "level", _morton(unit("x"), unit("y")).alias("code"))
     fine = cut(spots.groupBy("model_id", "level", "code").agg(F.count(F.lit(1)).alias("n")))
-    # Depth 0 is the model, depth 1 the level, each further one a quarter of what is above.
-    tile = lambda depth: F.when(depth == 0, F.lit("")).when(depth == 1, F.col("level")).otherwise(F.concat_ws("/", F.col("level"), depth.cast("string"), F.expr(f"shiftright(code, cast(2 * ({DEPTH} + 1 - depth) as int))").cast("string")))
-    tiles = fine.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(DEPTH + 1)))).withColumn("tile", tile(F.col("depth")))
+    # Depth 1 is the level, each further one a quarter of what is above.
+    tile = lambda depth: F.when(depth == 1, F.col("level")).otherwise(F.concat_ws("/", F.col("level"), depth.cast("string"), F.expr(f"shiftright(code, cast(2 * ({DEPTH} + 1 - depth) as int))").cast("string")))
+    tiles = fine.withColumn("depth", F.explode(F.sequence(F.lit(1), F.lit(DEPTH + 1)))).withColumn("tile", tile(F.col("depth")))
     fitting = tiles.groupBy("model_id", "depth", "tile").agg(F.sum("n").alias("total")).where(F.col("total") <= most)
     chosen = tiles.join(fitting, ["model_id", "depth", "tile"]).groupBy("model_id", "level", "code").agg(F.min_by("tile", "depth").alias("tile"))
     dealt = fine.join(chosen, ["model_id", "level", "code"], "left").withColumn("slots", F.ceil(F.col("n") / most))

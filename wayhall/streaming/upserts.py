@@ -13,17 +13,20 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 STATE = "last long, first long, body string"
 
 
-def _keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, first, body = before = state.get if state.exists else (None, None, None)
-    for rows in batches:
-        top = rows["ord"].idxmax()
-        if last is None or rows["ord"][top] > last:
-            last, body = int(rows["ord"][top]), rows["body"][top]
-        low = int(rows["ord"].min())
-        first = low if first is None else min(first, low)
-    if (last, first, body) != before:
-        state.update((last, first, body))
-        yield pd.DataFrame([[*key, last, first, body]])
+def _keeper(keys: list[str]):  # noqa: ANN202
+    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, first, body = before = state.get if state.exists else (None, None, None)
+        for rows in batches:
+            top = rows["ord"].idxmax()
+            if last is None or rows["ord"][top] > last:
+                last, body = int(rows["ord"][top]), rows["body"][top]
+            low = int(rows["ord"].min())
+            first = low if first is None else min(first, low)
+        if (last, first, body) != before:
+            state.update((last, first, body))
+            yield pd.DataFrame([[*key, last, first, body]], columns=[*keys, "last", "first", "body"])
+
+    return keep
 
 
 def latest(rows: DataFrame, keys: list[str], order: str, body_cols: list[str]) -> DataFrame:
@@ -35,7 +38,7 @@ def latest(rows: DataFrame, keys: list[str], order: str, body_cols: list[str]) -
     body = F.to_json(F.struct(*body_cols), {"ignoreNullFields": "false"})
     told = rows.where(F.col(order).isNotNull()).select(*keys, F.col(order).cast("long").alias("ord"), body.alias("body"))
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return told.groupBy(*keys).applyInPandasWithState(_keep, f"{kinds}, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
+    return told.groupBy(*keys).applyInPandasWithState(_keeper(keys), f"{kinds}, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def upsert_on_arrival(rows: DataFrame, keys: list[str], order: str, body_cols: list[str], out: str, checkpoint: str) -> StreamingQuery:
@@ -54,7 +57,7 @@ def upsert_on_arrival(rows: DataFrame, keys: list[str], order: str, body_cols: l
 def current(spark: SparkSession, out: str, keys: list[str], body_schema: str) -> DataFrame:
     """keys, seq and the body's columns: the state of all keys after the batches below out."""
     found = spark.read.parquet(out).groupBy(*keys).agg(F.max_by(F.struct("last", "first", "body"), F.struct("last", "batch")).alias("s"), F.min("first").alias("seq"))
-    return found.select(*keys, "seq", F.from_json("s.body", body_schema).alias("b")).select(*keys, "seq", "b.*")
+    return found.select(*keys, "seq", F.from_json("s.body", body_schema).alias("__body")).select(*keys, "seq", "__body.*")
 
 
 EDGE_KEY, EDGE_BODY = ["model_id", "a", "b"], "edge_type string, weight double, accessible boolean, coords array<struct<x:double,y:double,z:double>>"
