@@ -62,7 +62,7 @@ def _settled(waiting: DataFrame) -> DataFrame:
             items = items.cast(pa.struct([f.with_nullable(True) for f in items.type]))
         return pa.table({"item": items, "kept": pa.array([state[b] for b in found], pa.bool_())})
 
-    told = waiting.select("cell", "earlier", "later", "known", *(F.to_json(F.struct(c)).alias(f"{c}_key") for c in ("earlier", "later")))
+    told = waiting.select("cell", "earlier", "later", "known", *(F.to_json(F.struct(F.col(c).alias("key"))).alias(f"{c}_key") for c in ("earlier", "later")))
     return told.drop("earlier").groupBy("cell").applyInArrow(run, f"item {kind}, kept boolean")
 
 
