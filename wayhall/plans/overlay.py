@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from wayhall.plans.checkpoint import cut
 
 #: Nodes of a cell at most, and depth of the tree of tiles that cells come from.
-CELL, DEPTH = 512, 12
+CELL, DEPTH = 16384, 12
 BEST = ("cost", "hops", "before")
 
 
